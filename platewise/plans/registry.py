@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from platewise.plans import loading
+from platewise.plans import cleaning, loading, profiling, text
 
-MODULES = (loading,)
+MODULES = (loading, profiling, cleaning, text)
 FLAGSHIP = loading.p2_loaded
 
 
