@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from platewise.plans import cleaning, loading, profiling, text
+from platewise.plans import cleaning, loading, profiling, scoring, text
 
-MODULES = (loading, profiling, cleaning, text)
-FLAGSHIP = loading.p2_loaded
+MODULES = (loading, profiling, cleaning, text, scoring)
+FLAGSHIP = scoring.combine_topk
 
 
 def queries() -> dict:
