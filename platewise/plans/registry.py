@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from platewise.plans import cleaning, loading, profiling, scoring, text
+from platewise.plans import cleaning, loading, profiling, recommend, scoring, text
 
-MODULES = (loading, profiling, cleaning, text, scoring)
+MODULES = (loading, profiling, cleaning, text, scoring, recommend)
 FLAGSHIP = scoring.combine_topk
 
 
