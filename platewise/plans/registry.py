@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from platewise.plans import cleaning, loading, profiling, recommend, scoring, text
+from platewise.plans import cleaning, loading, planning, profiling, recommend, scoring, streams, text
 
-MODULES = (loading, profiling, cleaning, text, scoring, recommend)
+MODULES = (loading, profiling, cleaning, text, scoring, recommend, planning, streams)
 FLAGSHIP = scoring.combine_topk
 
 
