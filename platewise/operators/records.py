@@ -120,8 +120,8 @@ class Grammar:
         self.columns = columns
         self.numbers = columns.index(numbers)
         self.strings = columns.index(strings)
-        #: a name (quoted or plain), then two whole numbers in the next two fields
-        self.anchor = re.compile(r'(?:\A|\r\n|\n|\r)(?=(?:"[^"\r\n]*(?:""[^"\r\n]*)*"|[^",\r\n]*),"?\d+"?,"?\d+"?,)')
+        #: a line start with a name (quoted, or any run without a comma) and whole numbers in the next two fields
+        self.anchor = re.compile(r'(?:\A|\r\n|\n|\r)(?=(?:"[^"]*(?:""[^"]*)*"|[^",\r\n][^,\r\n]*|),"?\d+"?,"?\d+"?,)')
 
     def fields(self, text: str) -> list[str]:
         out, i = [], 0

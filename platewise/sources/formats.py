@@ -7,11 +7,19 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-RECIPES = T.StructType.fromDDL(
+_KINDS = {"LONG": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    """A schema from ``name TYPE`` pairs, without a running session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (c.split() for c in columns.split(", "))])
+
+
+RECIPES = _schema(
     "name STRING, id LONG, minutes LONG, contributor_id LONG, submitted STRING, tags STRING, nutrition STRING, n_steps INT, steps STRING, description STRING, ingredients STRING, n_ingredients INT"
 )
-INTERACTIONS = T.StructType.fromDDL("user_id LONG, recipe_id LONG, date STRING, rating INT, review STRING")
-MAPPING = T.StructType.fromDDL("raw_ingr STRING, replaced STRING")
+INTERACTIONS = _schema("user_id LONG, recipe_id LONG, date STRING, rating INT, review STRING")
+MAPPING = _schema("raw_ingr STRING, replaced STRING")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, *columns: str) -> DataFrame:
