@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.runtime import at_most
+from platewise.runtime import at_most, cut
 
 #: records per bit matrix; with 1024 heavy items a matrix is 8 MB
 BLOCK = 1 << 16
@@ -190,7 +190,8 @@ def frequent_pairs(
     heavy = [r[0] for r in support.where(F.col("n_item") * max_heavy >= total["postings"]).select("item").sort("item").collect()]
     keep = at_most(support.select("item"), dictionary) if floor > 1 else None
     if keep is None and floor > 1:
-        ids = records.select(F.monotonically_increasing_id().alias("__row"), F.explode(F.array_distinct("__items")).alias("item"))
+        # numbered before the arrays are opened, and written, so that a retried task cannot number anew
+        ids = cut(records.select("__items", F.monotonically_increasing_id().alias("__row"))).select("__row", F.explode(F.array_distinct("__items")).alias("item"))
         records = ids.join(support, "item", "left_semi").groupBy("__row").agg(F.collect_list("item").alias("__items"))
     counted = pair_counts(records, "__items", heavy, None if keep is None else sorted(r[0] for r in keep))
     counted = counted.where(F.col("n_ab") >= floor)

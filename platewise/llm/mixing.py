@@ -11,9 +11,9 @@ Documents are then selected by place: a seeded hash orders a pattern's documents
 on a circle whose length is their total size, and each source takes an arc as
 long as its flow.  A document is used as often as the arc passes its start, so
 never more than ``ceil(flow / total)`` times.  Places are exact prefix sums in
-two steps (buckets, then inside a bucket), so no task holds a whole source.  One
-use more or less of the best fitting document per source then closes the gap that
-whole documents leave.
+two steps (buckets, then inside a bucket), so no task holds a whole source.  A few
+uses more or less of the best fitting documents then close the gaps that whole
+documents leave.
 
 Defined results: sources compare trimmed and in lower case; documents of unlisted
 or null sources take no part; documents of size 0 are never used; a null
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from platewise.runtime import at_most, cut
 
 BUCKETS = 4096
+#: passes that bring the sources nearer to their quotas
+ROUNDS = 3
 
 
 @dataclass
@@ -136,6 +138,42 @@ def _places(sized: DataFrame, seed: int) -> DataFrame:
     return placed.withColumn("place", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
 
+def _closer(uses: DataFrame, quotas: dict[str, int], rounds: int = ROUNDS) -> DataFrame:
+    """Bring each source nearer its quota by one use more or less of one document, ``rounds`` times.
+
+    Each round is one pass that keeps one row per source.
+    """
+    spark, made = uses.sparkSession, {}
+    gaps = {s: q for s, q in quotas.items()}
+    for r in uses.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("t")).collect():
+        gaps[r["source"]] -= r["t"]
+
+    def changed() -> DataFrame:
+        if not made:
+            return uses
+        kinds = f"source string, id {uses.schema['id'].dataType.simpleString()}, change int"
+        table = spark.createDataFrame([(s, i, c) for (s, i), c in made.items()], kinds)
+        # at most one row per source and round
+        joined = uses.join(F.broadcast(table), ["source", "id"], "left")
+        return joined.select("id", "source", "size", "cap", (F.col("uses") + F.coalesce("change", F.lit(0))).alias("uses"))
+
+    for _ in range(rounds):
+        open_ = [(s, g) for s, g in gaps.items() if g]
+        if not open_:
+            break
+        tried = changed().join(F.broadcast(spark.createDataFrame(open_, "source string, gap long")), "source")  # a row per source
+        change = F.when((F.col("gap") > 0) & (F.col("uses") < F.col("cap")), F.lit(1)).when((F.col("gap") < 0) & (F.col("uses") > 0), F.lit(-1))
+        left = F.abs(F.col("gap") - F.col("change") * F.col("size"))
+        tried = tried.withColumn("change", change).where(F.col("change").isNotNull()).withColumn("left", left).where(F.col("left") < F.abs("gap"))
+        best = tried.groupBy("source").agg(F.min(F.struct("left", "id", "size", "change")).alias("b")).select("source", "b.*").collect()
+        if not best:
+            break
+        for r in best:
+            made[r["source"], r["id"]] = made.get((r["source"], r["id"]), 0) + r["change"]
+            gaps[r["source"]] -= r["change"] * r["size"]
+    return changed()
+
+
 def mix(documents: DataFrame, targets: dict[str, Target], seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """``(uses, report)`` for documents ``(id, sources array<string>, size long)``.
 
@@ -146,7 +184,8 @@ def mix(documents: DataFrame, targets: dict[str, Target], seed: int = 17) -> tup
     spark = documents.sparkSession
     listed = F.array(*(F.lit(s) for s in sorted(targets))) if targets else F.array().cast("array<string>")
     sized = documents.select("id", F.array_sort(F.array_intersect(F.coalesce("sources", F.array().cast("array<string>")), listed)).alias("pattern"), "size")
-    sized = cut(sized.where("size(pattern) > 0 and size > 0"))
+    # sizes may be costly to compute: they are written before they are filtered by, so they are computed once
+    sized = cut(sized.where("size(pattern) > 0")).where("size > 0")
     sums = {tuple(r["pattern"]): (r["n"], r["t"]) for r in sized.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("size").alias("t")).collect()}
     total = sum(t for _, t in sums.values())
     given = route({p: t for p, (_, t) in sums.items()}, targets)
@@ -164,21 +203,7 @@ def mix(documents: DataFrame, targets: dict[str, Target], seed: int = 17) -> tup
     placed = _places(sized, seed).join(F.broadcast(arcs_df), "pattern")
     uses = placed.select("id", "source", "size", "cap", (passes(F.col("start") + F.col("flow")) - passes(F.col("start"))).cast("int").alias("uses"))
     uses = cut(uses)
-    got = uses.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("tokens"))
-    quota = spark.createDataFrame([(s, round(t.weight * total)) for s, t in sorted(targets.items())], "source string, quota long")
-    gaps = quota.join(got, "source").select("source", (F.col("quota") - F.col("tokens")).alias("gap"))
-    change = F.when((F.col("gap") > 0) & (F.col("uses") < F.col("cap")), F.lit(1)).when((F.col("gap") < 0) & (F.col("uses") > 0), F.lit(-1))
-    tried = uses.join(F.broadcast(gaps), "source").withColumn("change", change).where("change is not null")
-    left = F.abs(F.col("gap") - F.col("change") * F.col("size"))
-    best = (
-        tried.where(left < F.abs("gap"))
-        .groupBy("source")
-        .agg(F.min(F.struct(left.alias("left"), "id", "change")).alias("best"))
-        .select("source", F.col("best.id").alias("id"), F.col("best.change").alias("change"))
-    )
-    uses = uses.join(F.broadcast(best), ["source", "id"], "left").select(
-        "id", "source", "size", (F.col("uses") + F.coalesce("change", F.lit(0))).alias("uses")
-    )
+    uses = _closer(uses, {s: round(t.weight * total) for s, t in targets.items()})
     rows = [
         (s, t.weight, t.max_repeats, round(t.weight * total), sum(n for p, (n, _) in sums.items() if s in p), sum(x for p, (_, x) in sums.items() if s in p))
         for s, t in sorted(targets.items())
@@ -193,4 +218,4 @@ def mix(documents: DataFrame, targets: dict[str, Target], seed: int = 17) -> tup
         "target_tokens", "actual_tokens", "available_tokens", "documents", F.coalesce("used_documents", F.lit(0)).alias("used_documents"),
         "max_repeats", F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
     )
-    return uses.where("uses > 0"), report
+    return uses.where("uses > 0").select("id", "source", "size", "uses"), report

@@ -7,7 +7,8 @@ therefore a combination of ``l`` of its prefix values.  How long the combination
 is adapts to the data: it starts with one value, and a combination that too many
 sets hold is replaced by its extensions with one further value of the next longer
 prefix, up to ``levels``.  Both sides see the same counts, so they extend alike
-and no pair is lost; combinations that only one set holds vanish at once.
+and no pair is lost: only sets that need no further common value to be similar are
+also joined as they are.  Combinations that only one set holds vanish at once.
 
 Candidates are verified by their exact overlap in whole numbers.  Exact copies are
 collapsed to one representative beforehand, so a group of copies costs one set.
@@ -81,6 +82,9 @@ def similar_pairs(sets: DataFrame, num: int = 4, den: int = 5, least: int = 1, h
             break
         found.append(_blocks(level.where(F.col("members") <= hot), hot))
         longer = level.where(F.col("members") > hot)
+        if -(-least * num // den) <= depth:
+            # sets so small that two of them may be similar by this many values alone
+            found.append(_blocks(longer.where(F.col("size") - F.col("free") <= depth), hot))
         level = (
             longer.select("key", "id", "size", "free", "pos", "hs", F.posexplode("hs").alias("next", "h"))
             .where((F.col("next") > F.col("pos")) & (F.col("next") <= F.col("free") + depth))
