@@ -47,10 +47,20 @@ def user_vectors(weights: DataFrame, ratings: DataFrame, liked: DataFrame | None
     return summed.join(norms, "user").select("user", "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine(weights: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(user, id, score)`` of every pair that shares a term: a sparse product as an equality join."""
+def cosine(weights: DataFrame, vectors: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """``(user, id, score)`` of every pair that shares a term: a sparse product as an equality join.
+
+    If the vectors' counted rows allow, they go to every task: the documents are then
+    spread by id and each sums its own products, so the products never move and a term
+    that a third of the documents hold is shared out.  Else both sides meet by term.
+    """
     v = vectors.select("user", "token", F.col("w").alias("u"))
-    return weights.join(v, "token").groupBy("user", "id").agg(F.sum(F.col("w") * F.col("u")).alias("score"))
+    if v.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        parts = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        joined = weights.repartition(parts, "id").join(F.broadcast(v), "token")
+    else:
+        joined = weights.join(v, "token")
+    return joined.groupBy("user", "id").agg(F.sum(F.col("w") * F.col("u")).alias("score"))
 
 
 def top_k(df: DataFrame, group: list[str] | str, order: list[Column], k: int, rank: str = "rn") -> DataFrame:

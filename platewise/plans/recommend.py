@@ -10,11 +10,12 @@ from platewise.operators import content, factors, ranking
 from platewise.plans import common as C
 from platewise.plans.cleaning import doc_tokens
 from platewise.plans.cleaning import SQL as CLEANING_SQL
+from platewise.runtime import cut
 from platewise.sources.tables import table
 
 
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
-    return content.tfidf(doc_tokens(spark, folder), table(spark, folder, "corpus", "id").count())
+    return content.tfidf(cut(doc_tokens(spark, folder)), table(spark, folder, "corpus", "id").count())
 
 
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,19 +27,19 @@ def heaviest_terms(spark: SparkSession, folder: str) -> DataFrame:
     return content.top_k(tfidf(spark, folder), "id", [F.desc("w"), F.col("token")], 8).select("id", "rn", "token", "w")
 
 
-def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+def _vectors(spark: SparkSession, folder: str, weights: DataFrame) -> DataFrame:
     """Vectors of the stated query set, users whose id is divisible by 100."""
-    rated = C.ratings(spark, folder).where("user % 100 = 0")
-    return content.user_vectors(_weights(spark, folder), rated)
+    return content.user_vectors(weights, C.ratings(spark, folder).where("user % 100 = 0"))
 
 
 def user_vector(spark: SparkSession, folder: str) -> DataFrame:
-    return _vectors(spark, folder).select("user", "token", settled(F.col("w"), 6).alias("w"))
+    return _vectors(spark, folder, cut(_weights(spark, folder))).select("user", "token", settled(F.col("w"), 6).alias("w"))
 
 
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Ten best unseen items by cosine for each user of the query set."""
-    scores = content.cosine(_weights(spark, folder), _vectors(spark, folder)).join(C.ratings(spark, folder), ["user", "id"], "left_anti")
+    weights = cut(_weights(spark, folder))
+    scores = content.cosine(weights, cut(_vectors(spark, folder, weights))).join(C.ratings(spark, folder), ["user", "id"], "left_anti")
     rows = scores.withColumn("score", settled(F.col("score"), 6))
     return content.top_k(rows, "user", [F.desc("score"), F.col("id")], 10).select("user", "rn", "id", "score")
 
@@ -117,9 +118,9 @@ def eligible_users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = C.ratings(spark, folder)
+    rows = cut(C.ratings(spark, folder))
     users = ranking.eligible_users(rows)
-    held = ranking.holdout(rows, users, (F.col("user") * 31 + F.col("id") * 7919) % 10007)
+    held = cut(ranking.holdout(rows, users, (F.col("user") * 31 + F.col("id") * 7919) % 10007))
     return rows.join(held, ["user", "id"], "left_anti"), held, users
 
 
