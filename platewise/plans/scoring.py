@@ -140,6 +140,15 @@ def sweep_ceiling(spark: SparkSession, folder: str) -> DataFrame:
     ).groupBy("profile_id", F.col("x.weight").alias("weight")).agg(settled(F.avg("x.m"), 3).alias("mean_penalty"))
 
 
+def sweep_main_share(spark: SparkSession, folder: str) -> DataFrame:
+    """Energy penalty of the best main for each share of the slot that mains may take, in one pass."""
+    rows = C.items(spark, folder, f"is_{SLOT}", "is_side").where(F.col(f"is_{SLOT}") & ~F.col("is_side"))
+    rows = C.for_profiles(rows).withColumn("share", F.explode(F.array(*map(F.lit, (0.55, 0.65, 0.75)))))
+    target = C.daily()["calories"] * N.SLOT_SHARE[SLOT] * F.col("share")
+    rows = rows.withColumn("energy", N.energy_penalty(F.col("calories"), N.servings(F.col("calories"), target), target))
+    return rows.groupBy("profile_id", "share").agg(settled(F.min("energy"), 6).alias("least"), settled(F.avg("energy"), 3).alias("mean"))
+
+
 def _filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Mains and profiles with the ordered rules of the hard filter and the first that excludes."""
     rows = C.items(spark, folder, "is_side", "has_unmappable", "ingredients", "is_dinner").where(~F.col("is_side"))
@@ -203,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingredient_matrix, bmr_targets, slot_shares_fixed, slot_allowance, servings, penalties, soft_gates, relevance_scaled, combine_topk, contributions,
-        relax_levels, relax_note, sweep_ceiling, hard_filter_report, slot_filter, affordable, drift, plan_slot,
+        relax_levels, relax_note, sweep_ceiling, sweep_main_share, hard_filter_report, slot_filter, affordable, drift, plan_slot,
     )
 }
 
@@ -274,6 +283,9 @@ SQL = {
     "relax_levels": SCORED_SQL + ", " + ", ".join(_admitted_sql(i, f"a{i}") for i in range(5)) + " " + " UNION ALL ".join(f"(SELECT {i}::INTEGER AS level, profile_id, id, score FROM a{i} {_TOP.format(k=1)})" for i in range(5)),
     "relax_note": "SELECT k::INTEGER AS level, CASE WHEN k > 0 THEN 'relaxed: ' || array_to_string(['time', 'repetition', 'macros', 'energy'][1:k], ', ') ELSE '' END AS note FROM range(5) r(k)",
     "sweep_ceiling": SCORED_SQL + "SELECT profile_id, weight, " + S(f"avg({_penalty_sql('weight')})", 3) + " AS mean_penalty FROM scored, (VALUES (0e0), (1e0), (2e0), (4e0)) v(weight) GROUP BY 1, 2",
+    "sweep_main_share": "WITH " + C.PROFILES_SQL + ", " + C.ITEMS_SQL + f""", c AS (SELECT *, d_calories * 0.4e0 * share AS t FROM items, daily, (VALUES (0.55e0), (0.65e0), (0.75e0)) v(share) WHERE is_{SLOT} AND NOT is_side),
+        s AS (SELECT *, {_servings_sql("t")} AS helpings FROM c), e AS (SELECT *, abs(helpings * calories - greatest(t, 1e0)) / greatest(t, 1e0) AS energy FROM s)
+        SELECT profile_id, share, {S("min(energy)", 6)} AS least, {S("avg(energy)", 3)} AS mean FROM e GROUP BY 1, 2""",
     "hard_filter_report": _FILTER + "SELECT profile_id, failed, count(*) AS n FROM filtered GROUP BY 1, 2",
     "slot_filter": _FILTER + f", s AS (SELECT *, {_servings_sql('(d_calories * 0.4e0)')} AS helpings FROM filtered WHERE failed IS NULL AND is_dinner) SELECT profile_id, count(*) AS n, {S('sum(helpings)', 1)} AS helpings FROM s "
     "WHERE coalesce(helpings * sodium_mg <= max_sodium * 0.4e0, true) AND coalesce(helpings * sugar_g <= max_sugar * 0.4e0, true) AND id % 5 <> 0 GROUP BY 1",
