@@ -186,7 +186,7 @@ def frequent_pairs(
     records = df.select(F.col(items).alias("__items")).where("size(__items) > 0")
     total = records.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__items")), F.lit(0)).alias("postings")).first()
     floor = max(min_count, -(-per_mille * total["n"] // 1000))
-    support = supports(records, "__items").where(F.col("n_item") >= floor)
+    support = cut(supports(records, "__items").where(F.col("n_item") >= floor))
     heavy = [r[0] for r in support.where(F.col("n_item") * max_heavy >= total["postings"]).select("item").sort("item").collect()]
     keep = at_most(support.select("item"), dictionary) if floor > 1 else None
     if keep is None and floor > 1:

@@ -13,6 +13,7 @@ in a text are ordinary text; whole texts are encoded, whatever their length.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from functools import lru_cache
 
@@ -125,17 +126,19 @@ class _Shipped:
     """The model on its way to the tasks: one copy per executor, built once per Python worker."""
 
     def __init__(self, df: DataFrame, path: str):
-        self.model = df.sparkSession.sparkContext.broadcast(serialise(read_vocabulary(path)))
+        model = serialise(read_vocabulary(path))
+        self.key = hashlib.sha256(model).hexdigest()
+        self.model = df.sparkSession.sparkContext.broadcast(model)
 
     def codec(self) -> Codec:
-        made = _WORKER.get(id(self.model.value))
+        made = _WORKER.get(self.key)
         if made is None:
             _WORKER.clear()
-            made = _WORKER[id(self.model.value)] = Codec(self.model.value)
+            made = _WORKER[self.key] = Codec(self.model.value)
         return made
 
 
-_WORKER: dict[int, Codec] = {}
+_WORKER: dict[str, Codec] = {}
 
 
 def _texts(column: pa.Array) -> list[str | None]:

@@ -143,8 +143,7 @@ def ranks(values: DataFrame, partitions: int | None = None) -> DataFrame:
         F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
         F.sum("n").over(Window.partitionBy("grp", "stat")).alias("total"),
     )
-    # one row per partition, group and statistic
-    return numbered.join(F.broadcast(offsets), ["grp", "stat", "part"]).select(
+    return numbered.join(offsets, ["grp", "stat", "part"]).select(
         "grp", "stat", "value", "same", (F.col("offset") + F.col("before")).alias("below"), "total"
     )
 
@@ -159,7 +158,7 @@ def scores(stats: DataFrame, key: str, ranked: dict[str, int] = RANKED) -> DataF
         (F.sum(F.col("value") * F.col("same")) / F.sum("same")).alias("mean"),
         F.max(F.when(F.col("below") * 2 <= F.col("total"), F.col("value"))).alias("median"),
     )
-    tails = ranked_values.join(F.broadcast(moments), ["grp", "stat"]).select(
+    tails = ranked_values.join(moments, ["grp", "stat"]).select(
         F.col("grp").alias("own"), "stat", "value",
         (-F.ln((F.col("below") + F.col("same")) / F.col("total"))).alias("low"),
         (-F.ln((F.col("total") - F.col("below")) / F.col("total"))).alias("high"),
