@@ -50,9 +50,9 @@ def measure(text: str | None, reader: Reader) -> tuple:
     kinds, lines = reader.read(text)
     solid = sum(x.size for x in lines) or 1
     words = sum(len(x.low) for x in lines)
-    letters = sum(len(w) for x in lines for w in x.low)
-    symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
-    digits = sum(c.isdigit() for c in text)
+    letters = sum(len("".join(x.low)) for x in lines)
+    symbols = solid - sum(map(str.isalnum, text))  # lines hold all that is not white space
+    digits = sum(map(str.isdigit, text))
     ended = sum(bool(STOPS.search(x.row)) for x in lines)
     different = len({w for x in lines for w in x.low})
     short = sum(len(x.low) <= 3 for x in lines)

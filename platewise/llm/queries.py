@@ -34,7 +34,7 @@ def _tag_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 def _linked(sets: DataFrame, least: int = 6) -> tuple[DataFrame, DataFrame]:
     members = cut(sets.where(F.col("size") >= least))
-    return members, cut(setjoin.similar_pairs(members.where("id = rep").select("id", "vals"), 4, 5, least))
+    return members, setjoin.similar_pairs(members.where("id = rep").select("id", "vals"), 4, 5, least)
 
 
 def p3_ingredient_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each recipe's class of equal ingredient sets and its number of similar recipes."""
-    return setjoin.link_counts(*_linked(_ingredient_sets(spark, folder)))
+    members, pairs = _linked(_ingredient_sets(spark, folder))
+    return setjoin.link_counts(members, cut(pairs))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
