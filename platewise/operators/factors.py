@@ -103,9 +103,13 @@ def rank_items(queries: DataFrame, items: DataFrame, k: int, broadcast_rows: int
     """``(user, rn, id, score)``: the ``k`` items of greatest product with each query's factors, ties by id.
 
     ``queries`` is ``(user, p)``, a stated set; it is sent to every task only if its
-    counted size allows, else the join runs in blocks.
+    counted size allows, else every block of items meets its own copy of the set.
     """
-    few = queries.limit(broadcast_rows + 1).count() <= broadcast_rows
-    pairs = items.join(F.broadcast(queries) if few else queries, F.size("q") == F.size("p"))
+    if queries.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        pairs = items.join(F.broadcast(queries), F.size("q") == F.size("p"))
+    else:
+        blocks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        copies = queries.select("user", "p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        pairs = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(copies, "block").where(F.size("q") == F.size("p"))
     scored = pairs.select("user", "id", (F.floor(dot(F.col("q"), F.col("p")) * 1e6 + 0.5) / 1e6).alias("score"))
     return top_k(scored, "user", [F.desc("score"), F.col("id")], k).select("user", "rn", "id", "score")
