@@ -66,36 +66,42 @@ def fold_in(ratings: DataFrame, item: DataFrame, item_factors: DataFrame, mu: fl
     """``(user, bu, p array<double>)`` of users from their ratings of known items.
 
     Solves ``(Q'Q + ridge I) p = Q'(r - mu - bi)`` per user; ``bu`` is the mean of
-    ``r - mu - bi``.  Each task sums its rows to one small matrix per user first, so a
-    user with a third of all ratings costs no task more than its own share.
+    ``r - mu - bi``.  Each task sends a user's few rows as they are and reduces more
+    rows than a vector has values to as many by QR, which keeps ``Q'Q`` and ``Q'y``:
+    a user with a third of all ratings costs no task more than its own share.
     """
     known = ratings.join(item_factors, "id").join(item, "id", "left").select("user", "q", (F.col("rating") - F.lit(float(mu)) - F.coalesce("bi", F.lit(0.0))).alias("y"))
 
-    def partial(batches):
-        sums: dict = {}
-
-        def rows():
-            return pd.DataFrame([(u, n, y, g.ravel().tolist(), b.tolist()) for u, (n, y, g, b) in sums.items()], columns=["user", "n", "y", "g", "b"])
+    def reduced(frames):
+        out = []
+        for user, part in pd.concat(frames).groupby("user", sort=False):
+            q, y = np.stack(part["q"].to_numpy()).astype(float), part["y"].to_numpy(float)
+            n, s = len(y), y.sum()
+            if n > q.shape[1]:
+                basis, q = np.linalg.qr(q)
+                y = basis.T @ y
+            out.append((user, n, s, q.ravel(), y))
+        return pd.DataFrame(out, columns=["user", "n", "s", "q", "y"])
 
+    def partial(batches):
+        held, cells = [], 0
         for frame in batches:
-            for user, part in frame.groupby("user", sort=False):
-                q = np.stack(part["q"].to_numpy()).astype(float)
-                y = part["y"].to_numpy(float)
-                n, s, g, b = sums.get(user, (0, 0.0, 0.0, 0.0))
-                sums[user] = (n + len(y), s + y.sum(), g + q.T @ q, b + q.T @ y)
-            if len(sums) > 5000:  # bounds the task's memory; the parts are added up after the shuffle
-                yield rows()
-                sums = {}
-        if sums:
-            yield rows()
+            if len(frame):
+                held.append(frame)
+                cells += len(frame) * len(frame["q"].iloc[0])
+            if cells > 2_000_000:  # bounds the task's memory; the parts are put together after the shuffle
+                yield reduced(held)
+                held, cells = [], 0
+        if held:
+            yield reduced(held)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        b = np.sum(np.stack(part["b"].to_numpy()), axis=0)
-        g = np.sum(np.stack(part["g"].to_numpy()), axis=0).reshape(len(b), len(b))
-        p = np.linalg.solve(g + ridge * np.eye(len(b)), b)
-        return pd.DataFrame({"user": [part["user"].iloc[0]], "bu": [part["y"].sum() / part["n"].sum()], "p": [p.tolist()]})
+        y = np.concatenate(part["y"].to_numpy())
+        q = np.concatenate(part["q"].to_numpy()).reshape(len(y), -1)
+        p = np.linalg.solve(q.T @ q + ridge * np.eye(q.shape[1]), q.T @ y)
+        return pd.DataFrame({"user": [part["user"].iloc[0]], "bu": [part["s"].sum() / part["n"].sum()], "p": [p.tolist()]})
 
-    sums = known.mapInPandas(partial, "user long, n long, y double, g array<double>, b array<double>")
+    sums = known.mapInPandas(partial, "user long, n long, s double, q array<double>, y array<double>")
     return sums.groupBy("user").applyInPandas(solve, "user long, bu double, p array<double>")
 
 

@@ -91,11 +91,11 @@ def latent_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fold_in(spark: SparkSession, folder: str) -> DataFrame:
-    """Factors of customers from their rated parts, with vectors standing in for item factors."""
+    """Factors of customers from their rated parts, with whole vectors standing in for item factors."""
     o = table(spark, folder, "orders", "o_orderkey", "o_custkey")
     li = table(spark, folder, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
     rated = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("id")).agg(F.max(F.floor((F.col("l_quantity") - 1) / 10) + 1).cast("double").alias("rating"))
-    items = _item_factors(spark, folder).select("id", F.slice("q", 1, 8).alias("q"))
+    items = _item_factors(spark, folder)
     bias = items.select("id", F.lit(0.0).alias("bi"))
     return factors.fold_in(rated, bias, items, 3.0).select("user", settled(F.col("bu"), 6).alias("bu"), F.transform("p", lambda x: settled(x, 6)).alias("p"))
 
