@@ -35,16 +35,18 @@ def user_vectors(weights: DataFrame, ratings: DataFrame, liked: DataFrame | None
     """
     centred = ratings.select("user", "id", (F.col("rating") - 3).cast("double").alias("c")).where("c <> 0")
     total = centred.groupBy("user").agg(F.sum(F.abs("c")).alias("total"))
-    parts = centred.join(weights, "id").groupBy("user", "token").agg(F.sum(F.col("c") * F.col("w")).alias("w")).join(total, "user").select("user", "token", (F.col("w") / F.col("total")).alias("w"))
+    rows = centred.join(weights, "id").select("user", "token", (F.col("c") * F.col("w")).alias("w"))
+    # the long rows move once: sums, totals and norms then all find them by user
+    parts = rows.repartition("user").groupBy("user", "token").agg(F.sum("w").alias("w")).join(total, "user").select("user", "token", (F.col("w") / F.col("total")).alias("w"))
     if liked is not None:
         parts = parts.unionByName(liked.select("user", "token", F.col("idf").alias("w")))
     if rejected is not None:
         n = rejected.groupBy("user").agg(F.count("*").alias("n"))
         away = rejected.join(weights, "id").groupBy("user", "token").agg(F.sum("w").alias("w")).join(n, "user")
         parts = parts.unionByName(away.select("user", "token", (F.col("w") / F.col("n") * -0.5).alias("w")))
-    summed = parts.groupBy("user", "token").agg(F.sum("w").alias("w"))
-    norms = summed.groupBy("user").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    return summed.join(norms, "user").select("user", "token", (F.col("w") / F.col("norm")).alias("w"))
+    summed = parts if liked is None and rejected is None else parts.groupBy("user", "token").agg(F.sum("w").alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("user")))
+    return summed.withColumn("norm", norm).where("norm > 0").select("user", "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def cosine(weights: DataFrame, vectors: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:

@@ -33,9 +33,19 @@ def _vectors(spark: SparkSession, folder: str, weights: DataFrame) -> DataFrame:
 
 
 def user_vector(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the query set of :func:`cosine_topk`; :func:`user_vector_all` has those of all users."""
     return _vectors(spark, folder, cut(_weights(spark, folder))).select("user", "token", settled(F.col("w"), 6).alias("w"))
 
 
+def _all_vectors(spark: SparkSession, folder: str, weights: DataFrame) -> DataFrame:
+    return content.user_vectors(weights, C.ratings(spark, folder))
+
+
+def user_vector_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of all users."""
+    return _all_vectors(spark, folder, cut(_weights(spark, folder))).select("user", "token", settled(F.col("w"), 6).alias("w"))
+
+
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Ten best unseen items by cosine for each user of the query set."""
     weights = cut(_weights(spark, folder))
@@ -155,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tfidf, heaviest_terms, user_vector, cosine_topk, popularity, mean_baselines_rmse, predicted_rating, mf_train, latent_rank, fold_in, known_item_count,
-        switch_route, eligible_users, holdout_split, prf_ndcg, by_population, top10_support,
+        user_vector_all, switch_route, eligible_users, holdout_split, prf_ndcg, by_population, top10_support,
     )
 }
 

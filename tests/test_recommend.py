@@ -1,4 +1,5 @@
 import numpy as np
+from oracle import compare, connect
 
 from platewise.operators import factors
 from platewise.plans import recommend
@@ -30,3 +31,13 @@ def test_fold_in_reduces_a_long_history(spark):
     ratings = spark.createDataFrame([(7, i, v) for i, v in enumerate(y.tolist())], "user long, id long, rating double")
     (row,) = factors.fold_in(ratings, items.selectExpr("id", "0D AS bi"), items, 3.0).collect()
     assert np.allclose(row["p"], np.linalg.solve(m.T @ m + 0.1 * np.eye(3), m.T @ (y - 3))) and np.isclose(row["bu"], y.mean() - 3)
+
+
+def for_all(name):
+    """The SQL of a query of the query set, without its filter."""
+    assert recommend.SQL[name].count(' AND "user" % 100 = 0') == 1
+    return recommend.SQL[name].replace(' AND "user" % 100 = 0', "")
+
+
+def test_user_vector_all_has_every_user(spark, data):
+    compare(connect(data), recommend.user_vector_all(spark, data), for_all("user_vector"))
