@@ -154,18 +154,28 @@ def by_population(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("population", "k", "users", *(settled(F.col(c), 6).alias(c) for c in ("precision", "recall", "ndcg")))
 
 
-def top10_support(spark: SparkSession, folder: str) -> DataFrame:
-    """Median over users of the median popularity of their ten best items."""
-    counts = popularity(spark, folder)
-    per_user = cosine_topk(spark, folder).join(counts, "id", "left").groupBy("user").agg(F.median(F.coalesce("n", F.lit(0))).alias("m"))
+def _support(best: DataFrame, counts: DataFrame) -> DataFrame:
+    per_user = best.join(counts, "id", "left").groupBy("user").agg(F.median(F.coalesce("n", F.lit(0))).alias("m"))
     return per_user.agg(F.count("*").alias("users"), F.median("m").alias("median_support"))
 
 
+def top10_support(spark: SparkSession, folder: str) -> DataFrame:
+    """Median over the query set of :func:`cosine_topk` of the median popularity of the ten best items."""
+    return _support(cosine_topk(spark, folder), popularity(spark, folder))
+
+
+def top10_support_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Median over all users with a vector of the median popularity of their ten best unseen items."""
+    weights = cut(_weights(spark, folder))
+    best = content.cosine_top(weights, _all_vectors(spark, folder, weights), C.ratings(spark, folder), 10)
+    return _support(best, popularity(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tfidf, heaviest_terms, user_vector, cosine_topk, popularity, mean_baselines_rmse, predicted_rating, mf_train, latent_rank, fold_in, known_item_count,
-        user_vector_all, switch_route, eligible_users, holdout_split, prf_ndcg, by_population, top10_support,
+        user_vector_all, switch_route, eligible_users, holdout_split, prf_ndcg, by_population, top10_support, top10_support_all,
     )
 }
 

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from oracle import compare, connect
 
-from platewise.operators import factors
+from platewise.operators import content, factors
 from platewise.plans import recommend
 
 
@@ -41,3 +42,23 @@ def for_all(name):
 
 def test_user_vector_all_has_every_user(spark, data):
     compare(connect(data), recommend.user_vector_all(spark, data), for_all("user_vector"))
+
+
+def test_top10_support_all_is_over_every_user(spark, data):
+    compare(connect(data), recommend.top10_support_all(spark, data), for_all("top10_support"))
+
+
+@pytest.mark.parametrize("blocks", [{}, {"most_items": 30}, {"most_weights": 400}])
+def test_cosine_top_of_all_users(spark, data, blocks):
+    weights = recommend._weights(spark, data)
+    best = content.cosine_top(weights, recommend._all_vectors(spark, data, weights), recommend.C.ratings(spark, data), 10, **blocks)
+    compare(connect(data), best, for_all("cosine_topk"))
+
+
+def test_cosine_top_with_zero_and_negative_scores(spark):
+    w = spark.createDataFrame([(i, t, 0.5) for i in range(6) for t in (f"t{i}", f"t{i + 1}")] + [(9, "z", 1.0)], "id long, token string, w double")
+    v = spark.createDataFrame([(1, "t1", -0.6), (1, "t2", 0.6), (1, "t5", -0.8), (2, "z", -1.0), (3, "none", 1.0)], "user long, token string, w double")
+    seen = spark.createDataFrame([(1, 2), (2, 77)], "user long, id long")
+    got = [tuple(r) for r in content.cosine_top(w, v, seen, 10).orderBy("user", "rn").collect()]
+    assert got == [(1, 1, 1, 0.0), (1, 2, 0, -0.3), (1, 3, 4, -0.4), (1, 4, 5, -0.4), (2, 1, 9, -1.0)]
+    assert content.cosine_top(w.limit(0), v, seen, 10).count() == 0 and content.cosine_top(w, v.limit(0), seen, 10).count() == 0
