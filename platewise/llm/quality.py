@@ -10,8 +10,9 @@
    summed negative logarithms of the left tails, of the right tails, and of the
    tails on the side to which each statistic is skewed.
 4. A document is a candidate if its tails on the side away from prose are unlikely
-   enough together; what a candidate is follows from the greater part of its
-   characters.
+   enough together, within its language or within all documents: ties count in a
+   tail, so a small or homogeneous language alone has no unlikely ones.  What a
+   candidate is follows from the greater part of its characters.
 
 Defined results: null, empty and blank texts have zero words, null shares, no
 ranks, no score and no kind.  A null, empty or ``und`` language is ranked within
@@ -149,30 +150,37 @@ def ranks(values: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def scores(stats: DataFrame, key: str, ranked: dict[str, int] = RANKED) -> DataFrame:
-    """``(key, outlier_score, away_score)`` of the documents that have words or signs at all."""
+    """``(key, outlier_score, away_score)`` of the documents that have words or signs at all.
+
+    ``outlier_score`` is that within the document's language, ``away_score`` the larger
+    of those within its language and within all documents.
+    """
     pairs = F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in ranked))
     long = stats.where("not_prose_share is not null").select(F.col(key).alias("__key"), F.col("lang").alias("own"), F.inline(pairs)).where("value is not null")
-    groups = F.array_distinct(F.array("own", F.lit(ANY)))
-    ranked_values = ranks(long.select(F.explode(groups).alias("grp"), "stat", "value"))
+    long = long.select("*", F.explode(F.array_distinct(F.array("own", F.lit(ANY)))).alias("grp"))
+    ranked_values = ranks(long.select("grp", "stat", "value"))
     moments = ranked_values.groupBy("grp", "stat").agg(
         (F.sum(F.col("value") * F.col("same")) / F.sum("same")).alias("mean"),
         F.max(F.when(F.col("below") * 2 <= F.col("total"), F.col("value"))).alias("median"),
     )
     tails = ranked_values.join(moments, ["grp", "stat"]).select(
-        F.col("grp").alias("own"), "stat", "value",
+        "grp", "stat", "value",
         (-F.ln((F.col("below") + F.col("same")) / F.col("total"))).alias("low"),
         (-F.ln((F.col("total") - F.col("below")) / F.col("total"))).alias("high"),
         (F.col("mean") < F.col("median")).alias("left_skewed"),
     )
     away = {1: F.col("high"), -1: F.col("low"), 0: F.lit(0.0)}
     side = F.element_at(F.create_map(*(F.lit(x) for kv in ranked.items() for x in kv)), F.col("stat"))
-    joined = long.join(tails, ["own", "stat", "value"]).select(
-        "__key", "low", "high", F.when(F.col("left_skewed"), F.col("low")).otherwise(F.col("high")).alias("skewed"),
+    joined = long.join(tails, ["grp", "stat", "value"]).select(
+        "__key", "grp", (F.col("grp") == F.col("own")).alias("home"), "low", "high", F.when(F.col("left_skewed"), F.col("low")).otherwise(F.col("high")).alias("skewed"),
         F.when(side == 1, away[1]).when(side == -1, away[-1]).otherwise(away[0]).alias("away"),
     )
     return (
         joined.groupBy("__key")
-        .agg(F.greatest(F.sum("low"), F.sum("high"), F.sum("skewed")).alias("outlier_score"), F.sum("away").alias("away_score"))
+        .agg(
+            F.greatest(*(F.sum(F.when(F.col("home"), F.col(c))) for c in ("low", "high", "skewed"))).alias("outlier_score"),
+            F.greatest(F.sum(F.when(F.col("home"), F.col("away"))), F.coalesce(F.sum(F.when(F.col("grp") == ANY, F.col("away"))), F.lit(0.0))).alias("away_score"),
+        )
         .withColumnRenamed("__key", key)
     )
 
