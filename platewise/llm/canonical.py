@@ -13,8 +13,11 @@ without spaces, also with their first word last and their last word first
 markup and punctuation are removed on both sides, and an entry also answers to
 its plural.  The candidate with the most matched letters after three off for each
 edit wins; a swap of neighbouring letters is one edit.  A misspelt name of at most
-five letters that is a small part of its string counts only if the words around it
-also stand around correctly spelt names.
+five letters that is a small part of its string counts only if each word around it
+is on a fixed list of remarks, follows ``by``, or is capitalised in a string that has
+words in lower case, as a maker's name.  What a string is mapped to thus depends on it
+and on the list of entries, not on the other strings.  Windows hold as many words as
+the longest entry and one more.
 
 Defined results: null elements name nothing and are left out; an empty string is
 unmatched; a null or blank entry is no entry; ties go to fewer edits, then to the longer entry, then alphabetically.
@@ -54,8 +57,24 @@ def plain(column: str) -> str:
 
 #: SQL of the letters changed, added or dropped that the join tolerates for an entry of length L; a swap takes two
 EDITS = "CASE WHEN L <= 3 THEN 0 WHEN L <= 7 THEN 2 WHEN L <= 10 THEN 3 ELSE 4 END"
-#: a misspelt name of at most five letters that is a smaller share of its string needs known words around it
+#: a misspelt name of at most five letters that is a smaller share of its string needs remarks around it
 LEAST_PART = 0.28
+#: words of amounts, kinds, states and remarks that may stand around any name
+REMARKS = frozenset(
+    """
+    a about absolutely all an and any approx approximately are around as at available be best between big bit bought by can coarsely cold cooked
+    cooled cored cut desired diced divided drained dried each ends enough extra fine finely finish firmly for freezer fresh freshly
+    from frozen garnish generous good grated halved handful handfuls heaped heaping homemade hot if in into is it jarred large leftover
+    lengthwise level lightly like little lots medium melted minced mine minus more my need needed needs note of off offcuts on one only
+    optional or other our out packed packet packets peeled per pieces piece pinch pinches plain plus preferably prepared pure quality quartered
+    rinsed ripe room roughly rounded scant see serve serving shredded sifted skinned sliced slices small so softened some split squeezed store
+    strips such taste temperature thawed the then thick thickly thin thinly three tinned to toasted topping torn trimmed two unpeeled until use
+    used using usual very warm washed well whatever whichever whole with without you your find chopped crushed
+    bag bags bottle bottles box bunch bunches can cans clove cup cups dash drop drops g gram grams jar jars kg kilo l lb lbs liter litre
+    ml ounce ounces oz pack pint pints pound pounds quart quarts slice sprig sprigs stick sticks tablespoon tablespoons tbs tbsp tbsps
+    teaspoon teaspoons tin tins tsp tsps
+    """.split()
+)
 #: SQL of whether verified edits, a swap being one, are few enough for the whole name
 FEW = "CASE WHEN L <= 3 THEN edits = 0 WHEN L <= 7 THEN edits <= 1 WHEN L <= 9 THEN edits <= 2 ELSE edits <= 3 END"
 
@@ -170,7 +189,8 @@ def candidates(shapes: DataFrame, forms: DataFrame) -> DataFrame:
 def match(strings: DataFrame, forms: DataFrame) -> DataFrame:
     """``(val, entry, edits)``: the best entry of each distinct string that names one."""
     spark = strings.sparkSession
-    spoken = cut(windows(strings))
+    longest = forms.selectExpr("max(size(split(words, ' ')))").first()[0] or 0
+    spoken = cut(windows(strings, longest + 1))
     # each window grows into many substrings: spread them by number, since their bytes say little of the work
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shapes = spark.sql(f"SELECT /*+ REPARTITION({parts}, w) */ w FROM (SELECT DISTINCT w FROM {{spoken}})", spoken=spoken)
@@ -203,15 +223,16 @@ def match(strings: DataFrame, forms: DataFrame) -> DataFrame:
         forms=forms,
         spoken=spoken,
     ))
+    remarks = ", ".join(f"'{w}'" for w in sorted(REMARKS))
     return spark.sql(
         f"""
         WITH rest AS (
-            SELECT val, e, entry, L, part, explode(array_except(split({plain("val")}, ' '), split(words, ' '))) AS word FROM {{scored}}
-        ), remarks AS (
-            SELECT DISTINCT word AS remark FROM rest WHERE e = 0
+            SELECT val, entry, s, explode(array_except(split(s, ' '), split(words, ' '))) AS word
+            FROM (SELECT *, {plain("val")} AS s FROM {{scored}} WHERE e > 0 AND L <= 5 AND part < {LEAST_PART})
         ), doubtful AS (
-            SELECT DISTINCT val, entry FROM rest LEFT ANTI JOIN remarks ON word = remark
-            WHERE e > 0 AND L <= 5 AND part < {LEAST_PART} AND word RLIKE '[a-z]'
+            SELECT DISTINCT val, entry FROM rest
+            WHERE word RLIKE '[a-z]' AND word NOT IN ({remarks}) AND NOT contains(concat(' ', s, ' '), concat(' by ', word, ' '))
+                AND NOT (val RLIKE '(^|[^A-Za-z])[a-z]' AND val RLIKE concat('(^|[^A-Za-z])', initcap(word), '([^A-Za-z]|$)'))
         ), sure AS (
             SELECT s.* FROM {{scored}} s LEFT ANTI JOIN doubtful d ON s.val = d.val AND s.entry = d.entry AND s.e > 0
         )
