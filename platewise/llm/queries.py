@@ -16,6 +16,11 @@ def p1_lift(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.frequent_pairs(table(spark, folder, "corpus", "ingredients_norm"), "ingredients_norm", 5, 1)
 
 
+def p1_lift_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of items that a recipe holds together, with their lift."""
+    return cooccurrence.frequent_pairs(table(spark, folder, "corpus", "ingredients_norm"), "ingredients_norm", 1, 0)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     big = "decimal(38,0)"
     n, ab, a, b = (F.col(c).cast(big) for c in ("n", "n_ab", "n_a", "n_b"))
@@ -113,7 +118,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_lift, p3_found, p3_ingredient_pairs, p3_tag_pairs, p3_classes, p5_found, p6_ids, p6_decoded,
+        p1_found, p1_lift, p1_lift_all, p3_found, p3_ingredient_pairs, p3_tag_pairs, p3_classes, p5_found, p6_ids, p6_decoded,
         p7_mix_report, p7_mix, p8_found, p8_statistics, p8_scores,
     )
 }
