@@ -41,8 +41,8 @@ def pool(spark: SparkSession, folder: str, profiles: list[dict] = C.PROFILES) ->
 
 
 def plan_week(spark: SparkSession, folder: str) -> DataFrame:
-    """A week for four profiles: mains, sides and relaxation."""
-    profiles = C.PROFILES[:4]
+    """A week for all twelve profiles: mains, sides and relaxation."""
+    profiles = C.PROFILES
     return planner.as_table(spark, planner.Planner(cut(pool(spark, folder, profiles)), profiles).week()).drop("ingr")
 
 
