@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         for name, query in sorted(registry.queries().items()):
             print(name, "-", (query.__doc__ or "").strip().split("\n")[0])
         return 0
-    from platewise import session
+    from platewise import runtime, session
     from platewise.sources import formats
 
     df = registry.queries()[args.name](spark or session.build(), args.folder)
@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             out.write(formats.markdown(args.name, df))
     else:
         {"parquet": formats.write_parquet, "json": formats.write_json, "csv": formats.write_csv}[args.format](df, args.out)
+    runtime.free_all(df.sparkSession)
     return 0
 
 

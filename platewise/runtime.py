@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: paths of the intermediate tables that are still there, by the id of their session's application
+_TABLES: dict[str, list[str]] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table when the driver ends, if its JVM still answers."""
+    """Delete an intermediate table, if the session's JVM still answers."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,13 +46,36 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, without its lineage.
 
     Survives the loss of executors, is computed once, and gives later plans real
-    sizes to choose their joins by.
+    sizes to choose their joins by.  The table stays until :func:`free`,
+    :func:`free_all` or the driver's end.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/platewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    mine = _TABLES.setdefault(spark.sparkContext.applicationId, [])
+    if not mine:
+        atexit.register(free_all, spark, spark.sparkContext.applicationId)
+    mine.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` gave and that no unfinished plan reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.table_path
+        _remove(spark, path)
+        mine = _TABLES.get(spark.sparkContext.applicationId, [])
+        if path in mine:
+            mine.remove(path)
+
+
+def free_all(spark: SparkSession, application: str | None = None) -> None:
+    """Delete all intermediate tables of the session: for a caller who has written the results that read them."""
+    mine = _TABLES.get(application or spark.sparkContext.applicationId, [])
+    while mine:
+        _remove(spark, mine.pop())
 
 
 def at_most(df: DataFrame, limit: int) -> list | None:
@@ -56,3 +86,27 @@ def at_most(df: DataFrame, limit: int) -> list | None:
     """
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application.
+
+    Functions that run in workers name modules of the package, which a worker on
+    another machine, or started in another folder, would not find.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_platewise_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent).as_posix())
+    folder = f"{shared_folder(spark)}/platewise-{uuid.uuid4().hex}"
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/platewise.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(f"{folder}/platewise.zip")
+    sc._platewise_shipped = True
+    atexit.register(_remove, spark, folder)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from platewise.runtime import ship
+
 
 def build(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session with UTC time, ANSI mode, adaptive execution and Arrow transfer.
+    """A session with UTC time, ANSI mode, adaptive execution, Arrow transfer and the package on its workers.
 
     ``master`` and ``shuffle_partitions`` stay with spark-submit unless given.
     """
@@ -25,4 +27,6 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
