@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import canonical, cooccurrence, encoding, mixing, quality, setjoin
-from platewise.operators.packed import PHRASES, explode_packed
+from platewise.operators.packed import PHRASES, split_packed
 from platewise.runtime import cut
 from platewise.sources.tables import table
 
@@ -28,17 +28,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ingredient_sets(spark: SparkSession, folder: str) -> DataFrame:
-    corpus = table(spark, folder, "corpus", "id", "ingredients_norm")
-    return setjoin.classes(corpus.select("id", F.explode("ingredients_norm").alias("val")), "id", "val")
+    return setjoin.records(table(spark, folder, "corpus", "id", "ingredients_norm"), "id", "ingredients_norm")
 
 
 def _tag_sets(spark: SparkSession, folder: str) -> DataFrame:
-    recipes = table(spark, folder, "recipes", "id", "tags")
-    return setjoin.classes(explode_packed(recipes, "id", {"tags": PHRASES}), "id", "val")
+    return setjoin.records(table(spark, folder, "recipes", "id", "tags"), "id", split_packed("tags", PHRASES))
 
 
 def _linked(sets: DataFrame, least: int = 6) -> tuple[DataFrame, DataFrame]:
-    members = cut(sets.where(F.col("size") >= least))
+    members = cut(setjoin.by_content(sets, least))
     return members, setjoin.similar_pairs(members.where("id = rep").select("id", "vals"), 4, 5, least)
 
 
@@ -59,9 +57,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each recipe's class of equal ingredient sets and its number of similar recipes."""
-    members, pairs = _linked(_ingredient_sets(spark, folder))
-    return setjoin.link_counts(members, cut(pairs))
+    """Each recipe's class of equal sets and its number of similar recipes, by ingredients and by tags."""
+    counted = [setjoin.link_counts(*_linked(sets(spark, folder))).select(F.lit(f).alias("field"), "*") for f, sets in (("ingredients_norm", _ingredient_sets), ("tags", _tag_sets))]
+    return counted[0].unionByName(counted[1])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
