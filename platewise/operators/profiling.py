@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.operators import ranks as R
+
 #: The shares at which distributions are described.
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -17,13 +19,12 @@ def counts(df: DataFrame, **conditions: Column) -> DataFrame:
 def quantiles(df: DataFrame, *columns: str, shares=QUANTILES) -> DataFrame:
     """``(column_name, share, value)`` by exact linear interpolation; all columns in one pass.
 
-    ``percentile`` keeps a count per distinct value and merges partial counts, so it
-    is exact and pre-aggregated; a column without values gives null.
+    A column without values gives nulls.
     """
-    found = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares))).alias(c) for c in columns))
-    entries = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("vs")) for c in columns))
-    pairs = F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("vs").alias("value"))
-    return found.select(F.inline(entries)).select("column_name", F.inline(pairs).alias("share", "value"))
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns))))
+    found = R.quantiles(R.ranks(long, ["column_name"]), ["column_name"], shares)
+    asked = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(float(s)).alias("share")) for c in columns for s in shares))
+    return df.sparkSession.range(1).select(F.inline(asked)).join(found, ["column_name", "share"], "left").select("column_name", "share", "value")
 
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.operators.ranks import numbered
+
 CUTOFFS = (5, 10, 20)
 
 
@@ -23,9 +25,9 @@ def holdout(ratings: DataFrame, users: DataFrame, order: Column) -> DataFrame:
 
 
 def popular(train: DataFrame, most: int) -> DataFrame:
-    """``(id, pop_rank)`` of the ``most`` most rated items, ties by id: a top-k, then ranks of its few rows."""
+    """``(id, pop_rank)`` of the ``most`` most rated items, ties by id: a top-k, then range-partitioned ranks of its rows."""
     counts = train.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(most)
-    return counts.select("id", F.row_number().over(Window.orderBy(F.desc("n"), "id")).alias("pop_rank"))
+    return numbered(counts, [F.desc("n"), F.col("id")], "pop_rank").select("id", "pop_rank")
 
 
 def popularity_hits(train: DataFrame, held: DataFrame, cutoff: int = max(CUTOFFS)) -> DataFrame:

@@ -35,10 +35,11 @@ def prof_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def prof_moments(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "corpus", "calories", "minutes")
-    return c.agg(
-        settled(F.avg("calories"), 2).alias("avg_calories"), F.median("calories").alias("median_calories"), F.max("calories").alias("max_calories"),
-        settled(F.avg("minutes"), 2).alias("avg_minutes"), F.median("minutes").alias("median_minutes"), F.max("minutes").alias("max_minutes"),
-    )
+    one = c.agg(*(x for n in ("calories", "minutes") for x in (settled(F.avg(n), 2).alias(f"avg_{n}"), F.max(n).alias(f"max_{n}"))))
+    middle = P.quantiles(c, "calories", "minutes", shares=(0.5,))
+    medians = middle.agg(*(F.max(F.when(F.col("column_name") == n, F.col("value"))).alias(f"median_{n}") for n in ("calories", "minutes")))
+    # one row with one row
+    return one.join(F.broadcast(medians)).select(*(f"{x}_{n}" for n in ("calories", "minutes") for x in ("avg", "median", "max")))
 
 
 def prof_hist(spark: SparkSession, folder: str) -> DataFrame:
