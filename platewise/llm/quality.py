@@ -1,193 +1,291 @@
 """Per-document text quality statistics, outlier scores and the kind of text.
 
-1. One pass measures every text (:class:`platewise.llm.shape.Reader`).
-2. Ranks are exact and per language: equal values are counted first, the distinct
-   values are sorted by range partitioning, every partition numbers its own rows,
-   and the partitions' totals, summed up in order, are the offsets that turn those
-   numbers into ranks.  A value that most documents share is one row.
+1. One pass over the characters of each Arrow batch measures its texts
+   (:func:`statistics`), by array operations, not text by text.
+2. Ranks are exact and per language (:func:`platewise.operators.ranks.ranks`): equal
+   values are counted first, the distinct values are sorted by range partitioning, and
+   partition offsets turn places into ranks.  A value that most documents share is one row.
 3. A document's tail probability in a statistic is the share of its language at
    least as low (left) or as high (right); the outlier score is the largest of the
    summed negative logarithms of the left tails, of the right tails, and of the
    tails on the side to which each statistic is skewed.
-4. A document is a candidate if its tails on the side away from prose are unlikely
-   enough together, within its language or within all documents: ties count in a
-   tail, so a small or homogeneous language alone has no unlikely ones.  What a
-   candidate is follows from the greater part of its characters.
+4. A document is a candidate if its tails on the side away from prose are together no
+   likelier than chance would have them: the negative logarithm of a uniform tail has
+   the mean 1, so their sum must reach the number of those statistics, within the
+   document's language or within all documents (ties count in a tail, so a small or
+   homogeneous language alone has no unlikely ones).
+5. Only the candidates are read line by line (:class:`platewise.llm.shape.Reader`); a
+   candidate's kind is that of the greater part of its characters.
 
 Defined results: null, empty and blank texts have zero words, null shares, no
 ranks, no score and no kind.  A null, empty or ``und`` language is ranked within
-all documents.  A language is compared trimmed and in lower case.
+all documents and read with the common words of all languages, like a language
+without a word list.  A language is compared trimmed and in lower case.  A statistic
+that a text does not have (the mean length of no words) counts as its mean, 1.
 """
 
 from __future__ import annotations
 
-import math
+import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.shape import KINDS, Reader, STOPS
+from platewise.llm.shape import KINDS, Reader
+from platewise.operators.ranks import ranks
 from platewise.runtime import at_most, cut
 
 #: statistics that are ranked, and the side of prose's opposite: 1 high, -1 low, 0 neither
 RANKED = {
-    "word_count": 0, "mean_word_length": 0, "symbol_ratio": 1, "digit_ratio": 1, "punct_line_share": -1,
-    "common_word_share": -1, "repeated_word_share": 0, "short_line_share": 1, "not_prose_share": 1,
+    "word_count": 0, "punct_line_share": 0, "mean_word_length": 1, "symbol_ratio": 1, "repeated_word_share": 1,
+    "common_word_share": -1, "stop_rate": -1, "words_per_line": -1, "vowel_share": -1,
 }
-#: negative log of the chance below which the tails away from prose make a candidate
-CANDIDATE = math.log(2)
+#: negative log of the chance from which on the tails away from prose make a candidate: its mean for uniform tails
+CANDIDATE = float(sum(side != 0 for side in RANKED.values()))
 ANY = "*"
 
-_STATS = "word_count long, mean_word_length double, symbol_ratio double, digit_ratio double, punct_line_share double, common_word_share double, repeated_word_share double, short_line_share double, not_prose_share double"
-_SHARES = ", ".join(f"{k}_share double" for k in KINDS)
-
-
-def measure(text: str | None, reader: Reader) -> tuple:
-    """The statistics of one text in the order of the output columns."""
-    if not text or not text.strip():
-        return (0, *[None] * 12)
-    kinds, lines = reader.read(text)
-    solid = sum(x.size for x in lines) or 1
-    words = sum(len(x.low) for x in lines)
-    letters = sum(len("".join(x.low)) for x in lines)
-    symbols = solid - sum(map(str.isalnum, text))  # lines hold all that is not white space
-    digits = sum(map(str.isdigit, text))
-    ended = sum(bool(STOPS.search(x.row)) for x in lines)
-    different = len({w for x in lines for w in x.low})
-    short = sum(len(x.low) <= 3 for x in lines)
-    return (
-        words,
-        letters / words if words else None,
-        symbols / solid,
-        digits / solid,
-        ended / len(lines),
-        sum(x.common for x in lines) / words if words else 0.0,
-        1 - different / words if words else 0.0,
-        short / len(lines),
-        1 - kinds["prose"] / solid,
-        *(kinds[k] / solid for k in KINDS),
-    )
+COUNTS = ("n", "solid", "symbols", "letters", "vowels", "lines", "ended", "stops", "different", "common")
+#: character classes and patterns: what is counted, as regular expressions would say it
+SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BREAKS = r"\n\r\x{85}\x{2028}\x{2029}"
+WORDS = r"\p{L}+"
+LINES = rf"[^{BREAKS}]*[^{SPACE}][^{BREAKS}]*"
+ENDED = rf"""[.!?…。！？]["'”’»)\] \t\x{{a0}}\x{{3000}}]*(?:[{BREAKS}]|\z)"""
+STOPS = rf"""[。！？]|[.!?…](?:["'”’»)\]{SPACE}]|\z)"""
+VOWELS = "aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûü"
 
 
-def statistics(df: DataFrame, key: str, text: str, lang: str, common: DataFrame, most_words: int = 100_000) -> DataFrame:
-    """One row of statistics per document: ``(key, lang, word_count, ..., prose_share, ...)``.
+def language(lang: str) -> Column:
+    """Trimmed lower-case language, :data:`ANY` where it says nothing."""
+    name = F.coalesce(F.lower(F.trim(F.col(lang))), F.lit(""))
+    return F.when(name.isin("", "und"), F.lit(ANY)).otherwise(name)
 
-    ``common`` is ``(lang, word)``, a word list whose size is checked.  No shuffle.
-    """
-    words = at_most(common.select("word").where("word is not null").distinct(), most_words)
-    if words is None:
+
+def word_lists(common: DataFrame, most_words: int = 100_000) -> dict[str, list[str]]:
+    """Common words by language, and those of all languages under :data:`ANY`; refuses more than ``most_words`` rows."""
+    rows = at_most(common.select(language("lang").alias("lang"), F.lower("word").alias("word")).where("word is not null").distinct(), most_words)
+    if rows is None:
         raise ValueError(f"more than {most_words} common words")
-    words = sorted(r[0] for r in words)
-    names = [c.split()[0] for c in f"{_STATS}, {_SHARES}".split(", ")]
+    lists: dict[str, set[str]] = {ANY: set()}
+    for r in rows:
+        lists.setdefault(r["lang"], set()).add(r["word"])
+        lists[ANY].add(r["word"])
+    return {k: sorted(v) for k, v in sorted(lists.items())}
+
+
+def _texts(column: pa.Array) -> list[str]:
+    """Texts without nulls; bytes that are no text are replaced."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+
+
+LETTER, OTHER, BLANK, INLINE, BREAK, STOP, FULL_STOP, QUOTE, VOWEL = (1 << i for i in range(9))
+PLANES = 0x20000
+#: an odd number, whose powers and their inverses modulo 2 ** 64 weigh the places of letters
+BASE = 0x9E3779B97F4A7C15
 
-    def run(batches):
-        reader = Reader(words)
-        for batch in batches:
-            try:
-                texts = batch.column(2).to_pylist()
-            except UnicodeDecodeError:
-                texts = [None if b is None else b.decode("utf-8", "replace") for b in batch.column(2).cast(pa.binary()).to_pylist()]
-            rows = [measure(t, reader) for t in texts]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            arrays = [pa.array(c, pa.int64() if n == "word_count" else pa.float64()) for n, c in zip(names, columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["__key", "__lang", *names])
-
-    language = F.lower(F.trim(F.col(lang)))
-    language = F.when(F.coalesce(language, F.lit("")).isin("", "und"), F.lit(ANY)).otherwise(language)
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("__key"), language.alias("__lang"), F.col(text).alias("__text"))
-    out = out.mapInArrow(run, f"__key {kind}, __lang string, {_STATS}, {_SHARES}")
-    return out.withColumnRenamed("__key", key).withColumnRenamed("__lang", "lang")
 
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters of the first two planes: class bits, letters and vowels in one number, symbols and solid ones in another."""
+    bits = np.zeros(PLANES, np.uint16)
+    for i in range(PLANES):
+        kind = unicodedata.category(chr(i))[0]
+        bits[i] = LETTER if kind == "L" else OTHER if kind in "MN" else 0
+    for classes, bit in ((SPACE, BLANK), (BREAKS, BREAK), (r" \t\x{a0}\x{3000}", INLINE), (".!?…。！？", STOP), ("。！？", FULL_STOP), ("""\"'”’»)\\]""", QUOTE), (VOWELS + VOWELS.upper(), VOWEL)):
+        in_python = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{m[1]:0>4}", classes)
+        for m in re.finditer(f"[{in_python}]", "".join(map(chr, range(0x3100))) + "！？"):
+            bits[ord(m[0])] |= bit
+    has = lambda bit: (bits & bit != 0).astype(np.uint64)
+    high = np.uint64(32)
+    return bits, has(LETTER) | has(VOWEL) << high, (bits & (LETTER | OTHER | BLANK) == 0).astype(np.uint64) | (1 - has(BLANK)) << high
 
-def ranks(values: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``(grp, stat, value, same, below, total)`` for values ``(grp, stat, value)``.
 
-    ``same`` counts the rows with this value, ``below`` those with a lower one and
-    ``total`` all of the group.  Null values are ignored.
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    up = lambda base: np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
+    return up(BASE), up(pow(BASE, -1, 1 << 64))
+
+
+def _hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of the characters from each start up to its end."""
+    weigh, back = _powers(1 << max(16, int(len(low)).bit_length()))
+    sums = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * weigh[: len(low)])
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    return (sums[ends - 1] - before) * back[starts]
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of lower-case words."""
+    one, zero = np.array([0]), np.zeros(0, np.uint64)
+    return np.unique(np.concatenate([zero, *(_hashes(np.array([ord(c) for c in w], np.uint32), one, np.array([len(w)])) for w in words if w)]))
+
+
+def measure(texts: list[str], langs: list[str], lists: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The counts behind the statistics of a batch of texts, each an array with a value per text.
+
+    The texts stand one after the other with a line break around each.
     """
-    spark = values.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = values.where("value is not null").groupBy("grp", "stat", "value").agg(F.count("*").alias("same"))
-    ordered = counted.repartitionByRange(parts, "grp", "stat", "value").sortWithinPartitions("grp", "stat", "value")
+    joined = "\n" + "\n".join(texts) + "\n"
+    lowered = joined.lower()
+    if len(lowered) != len(joined):  # a character whose lower case is longer stays as it is
+        lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in joined)
+    codes, low = (np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32) for x in (joined, lowered))
+    bits, letters_vowels, symbols_solid = _characters()
+    if codes.max() >= PLANES:  # the next two planes are ideographs
+        codes = np.where(codes < PLANES, codes, ord("一"))
+    kind = bits[codes]
+    upto = np.cumsum([len(t) + 1 for t in texts])
+    docs = np.arange(len(texts))
+
+    def per_text(at: np.ndarray) -> np.ndarray:
+        """How many of some places, in order, each text has."""
+        return np.diff(np.searchsorted(at, upto, "right"), prepend=np.searchsorted(at, 0, "right"))
+
+    breaks = np.flatnonzero(kind & BREAK)
+    # counts per line, then per text; the first line is the break before the first text
+    line_starts = np.append(0, breaks[:-1] + 1)
+    lv, ss = (np.add.reduceat(table[codes], line_starts) for table in (letters_vowels, symbols_solid))
+    owner = np.searchsorted(upto, breaks)
+    owner[0] = 0
+    low_part, high_part = (lambda x: (x & np.uint64(0xFFFFFFFF)).astype(np.int64)), (lambda x: (x >> np.uint64(32)).astype(np.int64))
+    summed = {n: np.bincount(owner, x, len(texts)).astype(np.int64) for n, x in {"letters": low_part(lv), "vowels": high_part(lv), "symbols": low_part(ss), "solid": high_part(ss), "lines": high_part(ss) > 0}.items()}
+    # a line's last character but quotes and blanks
+    at = breaks - 1
+    going = np.flatnonzero(at > 0)
+    while len(going := going[kind[at[going]] & (QUOTE | INLINE) != 0]):
+        at[going] -= 1
+    ended = breaks[(at > 0) & (kind[np.maximum(at, 0)] & STOP != 0)]
+    stops = np.flatnonzero(kind & STOP)
+    stops = stops[(kind[stops] & FULL_STOP != 0) | (kind[stops + 1] & (QUOTE | BLANK) != 0)]
+    letter = kind & LETTER != 0
+    edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1  # both ends of every word: breaks stand at both ends of all
+    starts, ends = edges[::2], edges[1::2]
+    n = per_text(starts)
+    mine, hashes = np.repeat(docs, n), _hashes(low, starts, ends)
+    _, first = np.unique(hashes + mine.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)
+    names = np.array([name if name in lists else ANY for name in langs], object)
+    common = np.zeros(len(texts), np.int64)
+    for name in set(names):
+        own = (names == name)[mine]
+        common += np.bincount(mine[own][np.isin(hashes[own], lists[name])], minlength=len(texts))
+    return summed | {"n": n, "ended": per_text(ended), "stops": per_text(stops), "different": np.bincount(mine[first], minlength=len(texts)), "common": common}
+
 
-    def number(batches):
-        group, upto = None, 0
-        from pyspark import TaskContext
+def statistics(df: DataFrame, key: str, text: str, lang: str, common: DataFrame) -> DataFrame:
+    """One row of statistics per document: ``(key, lang, word_count, ..., vowel_share)``.
 
-        part = TaskContext.get().partitionId()
+    Words are runs of letters in lower case, lines those that are not blank.
+    ``common`` is ``(lang, word)``, a word list whose size is checked.  No shuffle: a
+    batch of texts is one array of characters, and each count one pass over it.
+    """
+    lists = word_lists(common)
+
+    def run(batches):
+        hashed = {name: word_hashes(words) for name, words in lists.items()}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            same = batch.column(3).to_numpy()
-            before = np.empty(len(same), np.int64)
-            starts = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]] + [len(names)]
-            for a, b in zip(starts, starts[1:], strict=False):
-                if names[a] != group:
-                    group, upto = names[a], 0
-                run = np.cumsum(same[a:b])
-                before[a:b] = upto + run - same[a:b]
-                upto += int(run[-1])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(before), pa.array(np.full(len(same), part, np.int32))],
-                names=["grp", "stat", "value", "same", "before", "part"],
-            )
-
-    numbered = cut(ordered.mapInArrow(number, "grp string, stat string, value double, same long, before long, part int"))
-    totals = numbered.groupBy("grp", "stat", "part").agg(F.sum("same").alias("n"))
-    order = Window.partitionBy("grp", "stat").orderBy("part")
-    offsets = totals.select(
-        "grp", "stat", "part",
-        F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-        F.sum("n").over(Window.partitionBy("grp", "stat")).alias("total"),
-    )
-    return numbered.join(offsets, ["grp", "stat", "part"]).select(
-        "grp", "stat", "value", "same", (F.col("offset") + F.col("before")).alias("below"), "total"
-    )
+            texts, langs = _texts(batch.column(2)), batch.column(1).to_pylist()
+            for at in range(0, batch.num_rows, 256):  # bounds the arrays' memory
+                m = measure(texts[at : at + 256], langs[at : at + 256], hashed)
+                piece = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(m[c].astype(np.int64)) for c in COUNTS)], names=["__key", "__lang", *COUNTS])
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).alias("__key"), language(lang).alias("__lang"), F.coalesce(text, F.lit("")).alias("__text"))
+    out = out.mapInArrow(run, f"__key {kind}, __lang string, " + ", ".join(f"{c} long" for c in COUNTS))
+    some, words = F.col("solid") > 0, F.greatest(F.col("n"), F.lit(1))
+    shares = {
+        "mean_word_length": F.try_divide(F.col("letters"), F.col("n")), "symbol_ratio": F.try_divide(F.col("symbols"), F.col("solid")),
+        "punct_line_share": F.try_divide(F.col("ended"), F.col("lines")), "common_word_share": F.col("common") / words,
+        "repeated_word_share": 1.0 - (F.col("different") + F.when(F.col("n") == 0, 1).otherwise(0)) / words, "stop_rate": F.col("stops") / words,
+        "words_per_line": F.try_divide(F.col("n"), F.col("lines")), "vowel_share": F.try_divide(F.col("vowels"), F.col("letters")),
+    }
+    return out.select(F.col("__key").alias(key), F.col("__lang").alias("lang"), F.col("n").alias("word_count"), *(F.when(some, c.cast("double")).alias(s) for s, c in shares.items()))
 
 
-def scores(stats: DataFrame, key: str, ranked: dict[str, int] = RANKED) -> DataFrame:
-    """``(key, outlier_score, away_score)`` of the documents that have words or signs at all.
+def scores(stats: DataFrame, key: str, ranked: dict[str, int] = RANKED, hot: int = 64, most_hot: int = 200_000) -> DataFrame:
+    """``(key, outlier_score, away_score)`` of the documents whose text is not blank.
 
     ``outlier_score`` is that within the document's language, ``away_score`` the larger
-    of those within its language and within all documents.
+    of those within its language and within all documents.  A value that more than a
+    ``hot``-th of a group has finds its tails in a broadcast of the counted hot values,
+    so no task is given all documents that share one.
     """
-    pairs = F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in ranked))
-    long = stats.where("not_prose_share is not null").select(F.col(key).alias("__key"), F.col("lang").alias("own"), F.inline(pairs)).where("value is not null")
+    names = list(ranked)
+    pairs = F.array(*(F.struct(F.lit(i).alias("stat"), F.col(s).cast("double").alias("value")) for i, s in enumerate(names)))
+    docs = stats.where("symbol_ratio is not null")
+    long = docs.select(F.col(key).alias("__key"), F.col("lang").alias("own"), F.inline(pairs)).where("value is not null")
     long = long.select("*", F.explode(F.array_distinct(F.array("own", F.lit(ANY)))).alias("grp"))
-    ranked_values = ranks(long.select("grp", "stat", "value"))
+    ranked_values = ranks(long, ["grp", "stat"])
     moments = ranked_values.groupBy("grp", "stat").agg(
         (F.sum(F.col("value") * F.col("same")) / F.sum("same")).alias("mean"),
         F.max(F.when(F.col("below") * 2 <= F.col("total"), F.col("value"))).alias("median"),
     )
-    tails = ranked_values.join(moments, ["grp", "stat"]).select(
-        "grp", "stat", "value",
+    tails = cut(ranked_values.join(moments, ["grp", "stat"]).select(
+        "grp", "stat", "value", (F.col("same") * hot >= F.col("total")).alias("hot"),
         (-F.ln((F.col("below") + F.col("same")) / F.col("total"))).alias("low"),
         (-F.ln((F.col("total") - F.col("below")) / F.col("total"))).alias("high"),
-        (F.col("mean") < F.col("median")).alias("left_skewed"),
-    )
-    away = {1: F.col("high"), -1: F.col("low"), 0: F.lit(0.0)}
-    side = F.element_at(F.create_map(*(F.lit(x) for kv in ranked.items() for x in kv)), F.col("stat"))
-    joined = long.join(tails, ["grp", "stat", "value"]).select(
-        "__key", "grp", (F.col("grp") == F.col("own")).alias("home"), "low", "high", F.when(F.col("left_skewed"), F.col("low")).otherwise(F.col("high")).alias("skewed"),
-        F.when(side == 1, away[1]).when(side == -1, away[-1]).otherwise(away[0]).alias("away"),
+        (F.col("median") - F.col("mean") > F.col("median") * 1e-9).alias("left_skewed"),  # sums differ in their last digits
+    ))
+    side = F.element_at(F.array(*(F.lit(v) for v in ranked.values())), F.col("stat") + 1)
+
+    def tailed(rows: DataFrame) -> DataFrame:
+        away = F.when(side == 1, F.col("high")).when(side == -1, F.col("low")).otherwise(F.lit(0.0))
+        skewed = F.when(F.col("left_skewed"), F.col("low")).otherwise(F.col("high"))
+        home, all_ = F.col("grp") == F.col("own"), F.col("grp") == ANY
+        sums = {"low": F.when(home, F.col("low")), "high": F.when(home, F.col("high")), "skewed": F.when(home, skewed), "near": F.when(home, away), "far": F.when(all_, away)}
+        counts = {"n_near": F.when(home & (side != 0), 1), "n_far": F.when(all_ & (side != 0), 1)}
+        return rows.groupBy("__key").agg(*(F.sum(c).alias(s) for s, c in sums.items()), *(F.count(c).alias(s) for s, c in counts.items()))
+
+    common, rest = tails.where("hot").drop("hot"), tails.where("not hot").drop("hot")
+    if common.limit(most_hot + 1).count() <= most_hot:
+        found = long.join(F.broadcast(common), ["grp", "stat", "value"], "left")
+        cold = found.where("low is null").drop("low", "high", "left_skewed").join(rest, ["grp", "stat", "value"])
+        parts = tailed(found.where("low is not null")).unionByName(tailed(cold))
+    else:
+        parts = tailed(long.join(tails, ["grp", "stat", "value"]))
+    summed = parts.groupBy("__key").agg(*(F.sum(c).alias(c) for c in parts.columns if c != "__key"))
+    directed = float(sum(v != 0 for v in ranked.values()))
+
+    def whole(total: str, counted: str) -> Column:
+        return F.coalesce(total, F.lit(0.0)) + (F.lit(directed) - F.col(counted))
+
+    return summed.select(
+        F.col("__key").alias(key), F.greatest("low", "high", "skewed").alias("outlier_score"),
+        F.greatest(F.when(F.col("n_near") > 0, whole("near", "n_near")), F.when(F.col("n_far") > 0, whole("far", "n_far")), F.lit(0.0)).alias("away_score"),
     )
-    return (
-        joined.groupBy("__key")
-        .agg(
-            F.greatest(*(F.sum(F.when(F.col("home"), F.col(c))) for c in ("low", "high", "skewed"))).alias("outlier_score"),
-            F.greatest(F.sum(F.when(F.col("home"), F.col("away"))), F.coalesce(F.sum(F.when(F.col("grp") == ANY, F.col("away"))), F.lit(0.0))).alias("away_score"),
-        )
-        .withColumnRenamed("__key", key)
-    )
 
 
-def kinds(stats: DataFrame, scored: DataFrame, key: str, candidate: float = CANDIDATE) -> DataFrame:
-    """``(key, kind)`` of the candidates whose greater part is not prose."""
-    found = stats.join(scored.where(F.col("away_score") >= candidate), key)
-    most = F.greatest(*(F.col(f"{k}_share") for k in KINDS))
-    kind = F.coalesce(*(F.when(F.col(f"{k}_share") == most, F.lit(k)) for k in KINDS))
-    return found.select(key, kind.alias("kind")).where("kind <> 'prose'")
+def kinds(df: DataFrame, scored: DataFrame, key: str, text: str, lang: str, common: DataFrame, candidate: float = CANDIDATE, most_ids: int = 4_000_000) -> DataFrame:
+    """``(key, kind)`` of the candidates among the texts ``df`` whose greater part is not prose.
+
+    The candidates' ids go to every task if their counted number allows, so the texts
+    do not move; else both sides meet by key.  A document that is no candidate is not read.
+    """
+    lists = word_lists(common)
+    ids = cut(scored.where(F.col("away_score") >= candidate).select(F.col(key).alias("__id")))
+    few = ids.limit(most_ids + 1).count() <= most_ids
+
+    def run(batches):
+        readers: dict[str, Reader] = {}
+        for batch in batches:
+            kinds_ = []
+            for name, t in zip(batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
+                name = name if name in lists else ANY
+                if name not in readers:
+                    readers[name] = Reader(lists[name])
+                sizes, _ = readers[name].read(t)
+                kinds_.append(max(KINDS, key=sizes.get))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds_, pa.string())], names=["__key", "kind"])
+
+    kind = df.schema[key].dataType.simpleString()
+    texts = df.select(F.col(key).alias("__key"), language(lang).alias("__lang"), F.col(text).alias("__text"))
+    texts = texts.join(F.broadcast(ids) if few else ids, F.col("__key") == F.col("__id"), "left_semi")
+    return texts.mapInArrow(run, f"__key {kind}, kind string").where("kind <> 'prose'").withColumnRenamed("__key", key)

@@ -97,10 +97,14 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[0].withColumnRenamed("id", "doc_id")
 
 
+def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "documents", "doc_id", "text", "lang"), table(spark, folder, "common_words")
+
+
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Quality statistics of every document."""
-    documents = table(spark, folder, "documents", "doc_id", "text", "lang")
-    return quality.statistics(documents, "doc_id", "text", "lang", table(spark, folder, "common_words"))
+    documents, common = _texts(spark, folder)
+    return quality.statistics(documents, "doc_id", "text", "lang", common)
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,8 +113,8 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    measured = cut(p8_statistics(spark, folder))
-    return quality.kinds(measured, quality.scores(measured, "doc_id"), "doc_id")
+    documents, common = _texts(spark, folder)
+    return quality.kinds(documents, p8_scores(spark, folder), "doc_id", "text", "lang", common)
 
 
 QUERIES = {
@@ -139,7 +143,25 @@ pairs AS (
     JOIN sized x ON x.id = a.id JOIN sized y ON y.id = b.id
     GROUP BY a.id, b.id, x.n, y.n HAVING 5 * count(*) >= 4 * (x.n + y.n - count(*)))
 """
+_P8 = {"space": quality.SPACE, "words": quality.WORDS, "lines": quality.LINES, "ended": quality.ENDED.replace("'", "''"), "stops": quality.STOPS.replace("'", "''"), "vowels": quality.VOWELS}
+_STATISTICS = r"""
+WITH texts AS (SELECT doc_id, CASE WHEN coalesce(lower(trim(lang)), '') IN ('', 'und') THEN '*' ELSE lower(trim(lang)) END AS lang, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(lower(t), '%(words)s') AS ws FROM texts),
+counted AS (
+    SELECT *, len(ws) AS n, length(regexp_replace(t, '[%(space)s]+', '', 'g')) AS solid, length(regexp_replace(t, '[\p{L}\p{M}\p{N}%(space)s]+', '', 'g')) AS symbols,
+        length(array_to_string(ws, '')) AS letters, length(regexp_replace(array_to_string(ws, ''), '[^%(vowels)s]+', '', 'g')) AS vowels,
+        len(regexp_extract_all(t, '%(lines)s')) AS lines, len(regexp_extract_all(t, '%(ended)s')) AS ended, len(regexp_extract_all(t, '%(stops)s')) AS stops, len(list_distinct(ws)) AS different
+    FROM worded),
+held AS (SELECT doc_id, lang, unnest(ws) AS w FROM worded),
+hits AS (SELECT doc_id, count(*) AS listed FROM held WHERE w IN (SELECT lower(word) FROM common_words c WHERE c.lang = held.lang OR held.lang NOT IN (SELECT lang FROM common_words WHERE lang IS NOT NULL)) GROUP BY 1)
+SELECT doc_id, lang, n AS word_count, CASE WHEN solid > 0 AND n > 0 THEN letters / n::DOUBLE END AS mean_word_length, CASE WHEN solid > 0 THEN symbols / solid::DOUBLE END AS symbol_ratio,
+    CASE WHEN solid > 0 AND lines > 0 THEN ended / lines::DOUBLE END AS punct_line_share, CASE WHEN solid > 0 THEN coalesce(listed, 0) / greatest(n, 1)::DOUBLE END AS common_word_share,
+    CASE WHEN solid > 0 THEN 1e0 - (different + CASE WHEN n = 0 THEN 1 ELSE 0 END) / greatest(n, 1)::DOUBLE END AS repeated_word_share, CASE WHEN solid > 0 THEN stops / greatest(n, 1)::DOUBLE END AS stop_rate,
+    CASE WHEN solid > 0 AND lines > 0 THEN n / lines::DOUBLE END AS words_per_line, CASE WHEN solid > 0 AND letters > 0 THEN vowels / letters::DOUBLE END AS vowel_share
+FROM counted LEFT JOIN hits USING (doc_id)
+""".replace("\\\\p", "\\p") % _P8
 SQL = {
+    "p8_statistics": _STATISTICS,
     "p1_found": _PAIRS + "SELECT item_a, item_b FROM pairs WHERE n * n_ab >= 5 * n_a * n_b",
     "p1_lift": _PAIRS + "SELECT *, n * n_ab::DOUBLE / (n_a::DOUBLE * n_b) AS lift FROM pairs",
     "p3_ingredient_pairs": _SETS + "SELECT id_a, id_b FROM pairs",

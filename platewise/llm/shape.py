@@ -150,7 +150,7 @@ RULE = re.compile(r"[\s|│┌┐└┘├┤┬┴┼─━+=:\-]+")
 
 
 class Reader:
-    """Measures texts; ``common`` is the set of common words of all languages."""
+    """Measures texts; ``common`` is the set of common words of their language."""
 
     def __init__(self, common):
         self.common = frozenset(w.lower() for w in common)

@@ -1,11 +1,8 @@
-from test_quality import SENTENCE, common
-
-from platewise.llm import quality as Q
+from test_quality import SENTENCE, kinds
 
 
 def test_small_and_homogeneous_languages_have_candidates(spark):
     table, salt = "| a | b |\n|---|---|\n| oats | 2 |\n| milk | 3 |", "salt\nonion\nolive oil\nleek"
     rows = [(i, SENTENCE * (2 + i % 3), "en") for i in range(60)] + [(100, salt, "ta"), *((200 + i, table, "sw") for i in range(6)), (300, SENTENCE, "cy")]
-    stats = Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", common(spark)).cache()
-    got = {r["doc_id"]: r["kind"] for r in Q.kinds(stats, Q.scores(stats, "doc_id"), "doc_id").collect()}
-    assert got == {100: "list"} | {200 + i: "table" for i in range(6)}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    assert kinds(df, spark) == {100: "list"} | {200 + i: "table" for i in range(6)}
