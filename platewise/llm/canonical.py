@@ -1,10 +1,14 @@
 """Map freely entered values to a canonical list by a partition-based pigeonhole join, in SQL.
 
 An entry of length ``L`` is cut into ``k(L) + 1`` segments.  A string within ``k``
-edits of it keeps at least one segment whole, moved by at most ``k`` places, so an
-equality join on (entry length, segment number, segment text) with the substrings
-at those places finds every candidate; ``levenshtein`` then verifies.  Strings
-without a verified entry come out of an anti-join as unmatched.
+edits of it, a swap of neighbouring letters being one, keeps at least one segment
+whole, moved by at most ``k`` places: an edit touches one segment, but for a swap
+across a border, for which each segment also stands with its end letters exchanged.
+An equality join on (entry length, segment number, segment text) with the substrings
+at those places therefore finds every candidate.  Candidates whose letters differ in
+more places than the edits can explain are dropped in the join, by the parities of
+their letters; ``levenshtein`` then verifies.  Strings without a verified entry come
+out of an anti-join as unmatched.
 
 What a string names is looked for in its windows of neighbouring words, so that
 amounts, makers and remarks around the name do not matter; windows are compared
@@ -12,7 +16,7 @@ without spaces, also with their first word last and their last word first
 (``sauce (fish)``), and with look-alike signs (``0`` for ``o``, ``rn`` for ``m``) exchanged.  Accents, widths,
 markup and punctuation are removed on both sides, and an entry also answers to
 its plural.  The candidate with the most matched letters after three off for each
-edit wins; a swap of neighbouring letters is one edit.  A misspelt name of at most
+edit wins.  A misspelt name of at most
 five letters that is a small part of its string counts only if each word around it
 is on a fixed list of remarks, follows ``by``, or is capitalised in a string that has
 words in lower case, as a maker's name.  What a string is mapped to thus depends on it
@@ -29,6 +33,7 @@ import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from platewise.runtime import cut
 
@@ -55,8 +60,10 @@ def plain(column: str) -> str:
     return f"trim(regexp_replace({s}, '[^a-z0-9]+', ' '))"
 
 
-#: SQL of the letters changed, added or dropped that the join tolerates for an entry of length L; a swap takes two
-EDITS = "CASE WHEN L <= 3 THEN 0 WHEN L <= 7 THEN 2 WHEN L <= 10 THEN 3 ELSE 4 END"
+#: SQL of the edits that the join tolerates for an entry of length L: those of FEW, or one in each word of four letters or more
+EDITS = "CASE WHEN L <= 3 THEN 0 WHEN L <= 7 THEN 1 WHEN L <= 9 THEN 2 WHEN L <= 15 THEN 3 ELSE greatest(4, L div 4) END"
+#: rows of segments that are sent to every task; of more, both sides meet by segment
+SENT = 1_000_000
 #: a misspelt name of at most five letters that is a smaller share of its string needs remarks around it
 LEAST_PART = 0.28
 #: words of amounts, kinds, states and remarks that may stand around any name
@@ -156,36 +163,74 @@ def windows(strings: DataFrame, words: int = 4) -> DataFrame:
 SEGMENT = "i * (L div (k + 1)) + greatest(0, i - (k + 1 - L % (k + 1)))", "L div (k + 1) + CASE WHEN i >= k + 1 - L % (k + 1) THEN 1 ELSE 0 END"
 
 
+def _letters(column: str) -> str:
+    """SQL of the parities of a string's letters and digits, as the bits of one number."""
+    return f"aggregate(split({column}, ''), 0L, (bits, x) -> bits ^ shiftleft(1L, ascii(x) % 64))"
+
+
+def segments(forms: DataFrame) -> DataFrame:
+    """``(form, L, k, i, seg, swaps, bits)``: each form's segments, also with end letters exchanged with the neighbours'."""
+    start, size = SEGMENT
+    return forms.sparkSession.sql(
+        f"""
+        WITH placed AS (
+            SELECT form, L, k, i, {start} AS at, {size} AS len, {_letters("form")} AS bits
+            FROM (SELECT form, L, k, explode(sequence(0, k)) AS i FROM (SELECT DISTINCT form, L, k FROM {{forms}}))
+        ), turned AS (
+            SELECT *, substring(form, at + 1, len) AS s, substring(form, at, 1) AS before, substring(form, at + len + 1, 1) AS after FROM placed
+        )
+        SELECT DISTINCT form, L, k, i, v.seg, v.swaps, bits FROM turned LATERAL VIEW explode(array(
+            struct(s AS seg, 0 AS swaps),
+            CASE WHEN i > 0 AND k > 0 THEN struct(concat(before, substring(s, 2)) AS seg, 1 AS swaps) END,
+            CASE WHEN i < k THEN struct(concat(substring(s, 1, len - 1), after) AS seg, 1 AS swaps) END,
+            CASE WHEN i > 0 AND i < k AND k > 1 AND len > 1 THEN struct(concat(before, substring(s, 2, len - 2), after) AS seg, 2 AS swaps) END
+        )) AS v WHERE v IS NOT NULL
+        """,
+        forms=forms,
+    )
+
+
 def candidates(shapes: DataFrame, forms: DataFrame) -> DataFrame:
     """``(w, form)``: pairs that share a segment at a tolerable place; ``shapes`` holds distinct ``w``."""
     spark = shapes.sparkSession
     start, size = SEGMENT
+    cuts = cut(segments(forms))
+    sent = cuts.limit(SENT + 1).count() <= SENT
+    longest = forms.selectExpr("max(k)").first()[0] or 0
     return spark.sql(
         f"""
-        WITH cut AS (
-            SELECT form, L, i, substring(form, {start} + 1, {size}) AS seg
-            FROM (SELECT form, L, k, explode(sequence(0, k)) AS i FROM (SELECT DISTINCT form, L, k FROM {{forms}}))
-        ), lengths AS (
+        WITH lengths AS (
             SELECT DISTINCT L, k FROM {{forms}}
         ), probes AS (
-            SELECT w, L, k, i, {start} AS at, {size} AS len
-            FROM (SELECT w, explode(sequence(greatest(1, length(w) - 4), length(w) + 4)) AS want FROM {{shapes}})
+            SELECT w, bits, L, k, i, {start} AS at, {size} AS len
+            FROM (SELECT w, {_letters("w")} AS bits, explode(sequence(greatest(1, length(w) - {longest}), length(w) + {longest})) AS want FROM {{shapes}})
             JOIN lengths ON want = L
             LATERAL VIEW explode(sequence(0, k)) AS i
             WHERE abs(length(w) - L) <= k
         ), places AS (
-            SELECT w, L, i, substring(w, at + d + 1, len) AS seg
+            SELECT w, bits, L, k, i, d, substring(w, at + d + 1, len) AS seg
             FROM (SELECT *, explode(sequence(-k, k)) AS d FROM probes)
             WHERE at + d >= 0 AND at + d + len <= length(w) AND abs(d - (length(w) - L)) <= k
         )
         SELECT DISTINCT p.w, c.form
-        FROM places p JOIN cut c ON p.L = c.L AND p.i = c.i AND p.seg = c.seg
+        FROM places p JOIN {{cuts}} c ON p.L = c.L AND p.i = c.i AND p.seg = c.seg
+            AND greatest(abs(p.d), abs(p.d - (length(p.w) - p.L))) + c.swaps <= p.k AND bit_count(p.bits ^ c.bits) <= 2 * (p.k - c.swaps)
         """,
         shapes=shapes,
         forms=forms,
+        cuts=F.broadcast(cuts) if sent else cuts,
     )
 
 
+def _swapped(w: str, form: str) -> str:
+    """SQL of the edits between strings of one length that neither adds nor drops a letter, a swap being one."""
+    at = "substring({}, j, 1)"
+    a, b, c, d = at.format(w), at.format(form), at.format(w).replace("j", "j + 1"), at.format(form).replace("j", "j + 1")
+    return f"""aggregate(sequence(1, length({w})), struct(0 AS upto, 0 AS n), (s, j) -> CASE
+        WHEN j <= s.upto OR {a} = {b} THEN s WHEN j < length({w}) AND {a} = {d} AND {c} = {b} THEN struct(j + 1 AS upto, s.n + 1 AS n)
+        ELSE struct(j AS upto, s.n + 1 AS n) END, s -> s.n)"""
+
+
 def match(strings: DataFrame, forms: DataFrame) -> DataFrame:
     """``(val, entry, edits)``: the best entry of each distinct string that names one."""
     spark = strings.sparkSession
@@ -194,16 +239,16 @@ def match(strings: DataFrame, forms: DataFrame) -> DataFrame:
     # each window grows into many substrings: spread them by number, since their bytes say little of the work
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shapes = spark.sql(f"SELECT /*+ REPARTITION({parts}, w) */ w FROM (SELECT DISTINCT w FROM {{spoken}})", spoken=spoken)
-    pairs = candidates(shapes, forms)
+    pairs = cut(candidates(shapes, forms))
     swapped = "CASE WHEN {d} >= 2 AND length({a}) = length({b}) AND array_sort(split({a}, '')) = array_sort(split({b}, '')) THEN 1 ELSE 0 END"
     each = f"levenshtein(x, y) - {swapped.format(d='levenshtein(x, y)', a='x', b='y')}"
     scored = cut(spark.sql(
         f"""
         WITH near AS (
-            SELECT p.w, p.form, f.L, levenshtein(p.w, p.form, f.k) AS lev
+            SELECT /*+ REPARTITION({parts}) */ p.w, p.form, f.L, levenshtein(p.w, p.form, 2 * f.k) AS lev
             FROM {{pairs}} p JOIN (SELECT DISTINCT form, L, k FROM {{forms}}) f ON p.form = f.form
         ), verified AS (
-            SELECT w, form, L, lev - {swapped.format(d="lev", a="w", b="form")} AS edits FROM near WHERE lev >= 0
+            SELECT w, form, L, CASE WHEN lev >= 2 AND length(w) = L THEN least(lev, {_swapped("w", "form")}) ELSE lev END AS edits FROM near WHERE lev >= 0
         ), measured AS (
             SELECT c.val, c.words, c.w, c.part, f.entry, v.L, v.edits,
                 CASE WHEN size(split(c.words, ' ')) = size(split(f.words, ' '))
@@ -251,7 +296,7 @@ def map_values(values: DataFrame, mapping: DataFrame, raw: str = "raw_ingr", ent
     spark = values.sparkSession
     cases = unresolved(values, mapping, raw, entry)
     strings = cut(spark.sql("SELECT DISTINCT val FROM {cases}", cases=cases))
-    found = cut(match(strings, entries(mapping, entry)))
+    found = cut(match(strings, cut(entries(mapping, entry))))
     return spark.sql(
         f"""
         SELECT c.*, f.entry AS replaced FROM {{cases}} c JOIN {{found}} f ON c.val = f.val
