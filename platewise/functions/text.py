@@ -59,8 +59,8 @@ def exclusion_stem(term: str) -> str:
 
 def exclusion_pattern(term: str) -> str | None:
     r"""Regular expression of a word that starts with the stem; none for an empty term."""
-    stem = exclusion_stem(term)
-    return rf"\b{re.escape(stem).replace(chr(92) + ' ', ' ')}\w*" if stem else None
+    words = exclusion_stem(term).split(" ")
+    return r"\b" + r"\s+".join(map(re.escape, words)) + r"\w*" if words != [""] else None
 
 
 def excluded(text: Column, term: str) -> Column:

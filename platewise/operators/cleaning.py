@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.operators.packed import NUMBERS, PHRASES, split_packed
+from platewise.runtime import cut
 
 #: Which tags place an item in a slot, which keep it out, and which make it a side.
 SLOT_TAGS = {
@@ -96,13 +97,14 @@ def side_pool(df: DataFrame) -> DataFrame:
     return df.where(~others & F.coalesce(rules[-1][1], F.lit(False)) & F.col("side_tagged") & ~F.col("excluded"))
 
 
-def normalise(df: DataFrame, key: str, items: str, mapping: DataFrame, raw: str = "raw_ingr", entry: str = "replaced") -> DataFrame:
+def normalise(df: DataFrame, key: str, items: str, mapping: DataFrame, raw: str = "raw_ingr", entry: str = "replaced", sent: int = 500_000, salts: int = 64) -> DataFrame:
     """``(key, norm array<string>, has_unmappable boolean)`` of arrays of entered strings.
 
     A string becomes the canonical form of its trimmed lower-case form, or stays as
     that if the mapping does not know it, which marks the row.  Null arrays give an
-    empty list; null items are dropped.  Distinct strings are looked up, not rows,
-    by a join that works for mappings of any size.
+    empty list; null items are dropped.  A mapping of at most ``sent`` counted strings
+    goes to every task, so items are looked up where they are; of a larger one only the
+    strings in use are looked up, and a string in many rows is spread over salts.
     """
     known = (
         mapping.where(F.col(entry).isNotNull())
@@ -113,7 +115,13 @@ def normalise(df: DataFrame, key: str, items: str, mapping: DataFrame, raw: str
         .agg(F.min(F.struct("o", "v"))["v"].alias("v"))
     )
     rows = df.select(F.col(key).alias("__key"), F.posexplode_outer(items).alias("pos", "item")).withColumn("k", F.lower(F.trim("item")))
-    looked = rows.join(known, "k", "left")
+    known = cut(known)
+    if known.limit(sent + 1).count() <= sent:
+        looked = rows.join(F.broadcast(known), "k", "left")
+    else:
+        salt = F.pmod(F.xxhash64("__key", "pos"), F.lit(salts)).cast("int")
+        used = known.join(rows.select("k").distinct(), "k", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        looked = rows.withColumn("salt", salt).join(used, ["k", "salt"], "left")
     out = looked.groupBy("__key").agg(
         F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("pos", F.coalesce("v", "k").alias("x"))))).alias("xs"),
         F.count_if(F.col("item").isNotNull() & F.col("v").isNull()).alias("left"),

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.runtime import cut
+
 SPACES = re.compile(r"\s+")
 ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|(.))", re.S)
 #: The one-letter escapes shared by list literals and JSON.
@@ -144,20 +146,40 @@ def split_packed(column: Column | str, dialect: Dialect = PHRASES) -> Column:
     return run(F.col(column) if isinstance(column, str) else column)
 
 
+def _by_key(df: DataFrame, key: str, fields: dict[str, Dialect]) -> tuple[DataFrame, DataFrame]:
+    """``(__key, field, vals)`` of the rows whose key stands alone, and of those whose key is repeated or null.
+
+    Only the keys move to tell them apart, and each field is split once.
+    """
+    packed = df.select(F.col(key).alias("__key"), *(F.col(f).alias(f"__f{i}") for i, f in enumerate(fields)))
+    often = cut(packed.groupBy(F.col("__key").alias("__often")).agg(F.count("*").alias("n")).where("n > 1 and __often is not null").select("__often"))
+
+    def split(rows: DataFrame) -> DataFrame:
+        values = rows.select("__key", *(split_packed(f"__f{i}", dialect).alias(f"__f{i}") for i, dialect in enumerate(fields.values())))
+        entries = F.array(*(F.struct(F.lit(name).alias("field"), F.col(f"__f{i}").alias("vals")) for i, name in enumerate(fields)))
+        return values.select("__key", F.inline(entries))
+
+    alone = packed.where("__key is not null").join(often, F.col("__key") == F.col("__often"), "left_anti")
+    many = packed.join(often, F.col("__key") == F.col("__often"), "left_semi").unionByName(packed.where("__key is null"))
+    return split(alone), split(many)
+
+
 def explode_packed(df: DataFrame, key: str, fields: dict[str, Dialect]) -> DataFrame:
     """One row ``(key, field, pos, val)`` per packed value, each once per key.
 
-    Repeats are removed inside each task first and then over all four columns, so
-    the single shuffle spreads even a key that holds a third of the rows.  A null
-    key counts as one key.  Other columns are ignored.
+    Rows whose key stands alone do not move.  Of repeated keys, repeats are removed
+    inside each task first and then over all four columns, so the shuffle spreads even
+    a key that holds a third of the rows.  A null key counts as one key.  Other columns
+    are ignored.
     """
-    packed = df.select(F.col(key).alias("__key"), *(F.col(f).alias(f"__f{i}") for i, f in enumerate(fields)))
-    values = packed.select(
-        "__key", *(split_packed(f"__f{i}", dialect).alias(f"__f{i}") for i, dialect in enumerate(fields.values()))
-    )
-    entries = F.array(*(F.struct(F.lit(name).alias("field"), F.col(f"__f{i}").alias("vals")) for i, name in enumerate(fields)))
-    rows = values.select("__key", F.inline(entries)).select("__key", "field", F.posexplode("vals").alias("pos", "val"))
-    return rows.dropDuplicates(["__key", "field", "pos", "val"]).withColumnRenamed("__key", key)
+    alone, many = (rows.select("__key", "field", F.posexplode("vals").alias("pos", "val")) for rows in _by_key(df, key, fields))
+    return alone.unionByName(many.dropDuplicates(["__key", "field", "pos", "val"])).withColumnRenamed("__key", key)
+
+
+def packed_values(df: DataFrame, key: str, fields: dict[str, Dialect]) -> DataFrame:
+    """One row ``(key, field, val)`` per different value of a key's field, like :func:`explode_packed` without places."""
+    alone, many = (rows.select("__key", "field", F.explode(F.array_distinct("vals")).alias("val")) for rows in _by_key(df, key, fields))
+    return alone.unionByName(many.distinct()).withColumnRenamed("__key", key)
 
 
 RECIPE_FIELDS = {"ingredients": PHRASES, "tags": PHRASES, "nutrition": NUMBERS}

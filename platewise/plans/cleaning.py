@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.operators import cleaning as C
-from platewise.operators.packed import PHRASES, explode_packed
+from platewise.operators.packed import PHRASES, packed_values
 from platewise.plans.profiling import TAGS_SQL
 from platewise.sources.tables import table
 
@@ -18,7 +18,7 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_lists(spark: SparkSession, folder: str) -> DataFrame:
     """Tags of each raw item, once each."""
-    return explode_packed(table(spark, folder, "recipes", "id", "tags"), "id", {"tags": PHRASES}).select("id", F.col("val").alias("tag")).distinct()
+    return packed_values(table(spark, folder, "recipes", "id", "tags"), "id", {"tags": PHRASES}).select("id", F.col("val").alias("tag"))
 
 
 def nutrition_columns(spark: SparkSession, folder: str) -> DataFrame:

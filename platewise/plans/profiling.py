@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from platewise.functions.numeric import settled
 from platewise.operators import profiling as P
-from platewise.operators.packed import PHRASES, explode_packed
+from platewise.operators.packed import PHRASES, packed_values
 from platewise.sources.tables import table
 
-TAILS = (1, 2, 3, 5, 8, 10, 15, 20, 50, 100, 200)
+#: The group sizes that are reported.
+TAILS = (1, 2, 3, 5, 10, 15, 20, 25, 30, 50, 100)
 
 
 def prof_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,8 +48,8 @@ def prof_hist(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prof_top_tags(spark: SparkSession, folder: str) -> DataFrame:
-    tags = explode_packed(table(spark, folder, "recipes", "id", "tags"), "id", {"tags": PHRASES})
-    return P.top(tags.select("id", F.col("val").alias("tag")).distinct(), "tag", 40)
+    tags = packed_values(table(spark, folder, "recipes", "id", "tags"), "id", {"tags": PHRASES})
+    return P.top(tags.select("id", F.col("val").alias("tag")), "tag", 40)
 
 
 def prof_top_ingredients(spark: SparkSession, folder: str) -> DataFrame:
