@@ -13,11 +13,11 @@ PROFILES = [
     {
         "profile_id": k, "male": k % 2 == 1, "age": 20.0 + k * 7 % 45, "height_cm": 150.0 + k * 11 % 40, "weight_kg": 50.0 + k * 13 % 45,
         "activity": (1.4, 1.6, 1.75, 1.9)[k % 4], "max_sodium": 800.0 if k % 5 == 0 else None, "max_sugar": 15.0 if k % 6 == 0 else None,
-        "avoid": ("", "egg", "nut", "")[k % 4], "banned": ("", "oats", "olives")[k % 3], "weekday_minutes": 30, "weekend_minutes": 75,
+        "avoid": ("", "egg", "nut", "")[k % 4], "banned": ("", "oats", "olives")[k % 3], "regime": ("", "vegetarian", "third", "", "vegan")[k % 5], "weekday_minutes": 30, "weekend_minutes": 75,
     }
     for k in range(1, 13)
 ]
-_KINDS = {"profile_id": "int", "male": "boolean", "avoid": "string", "banned": "string", "weekday_minutes": "int", "weekend_minutes": "int"}
+_KINDS = {"profile_id": "int", "male": "boolean", "avoid": "string", "banned": "string", "regime": "string", "weekday_minutes": "int", "weekend_minutes": "int"}
 
 
 def profile_structs(profiles: list[dict] = PROFILES) -> Column:
@@ -59,7 +59,8 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
 PROFILES_SQL = """
 prof AS (SELECT k::INTEGER AS profile_id, k % 2 = 1 AS male, (20 + (k * 7) % 45)::DOUBLE AS age, (150 + (k * 11) % 40)::DOUBLE AS height_cm, (50 + (k * 13) % 45)::DOUBLE AS weight_kg,
     CASE k % 4 WHEN 0 THEN 1.4e0 WHEN 1 THEN 1.6e0 WHEN 2 THEN 1.75e0 ELSE 1.9e0 END AS activity, CASE WHEN k % 5 = 0 THEN 800e0 END AS max_sodium, CASE WHEN k % 6 = 0 THEN 15e0 END AS max_sugar,
-    CASE k % 4 WHEN 1 THEN 'egg' WHEN 2 THEN 'nut' ELSE '' END AS avoid, CASE k % 3 WHEN 1 THEN 'oats' WHEN 2 THEN 'olives' ELSE '' END AS banned FROM range(1, 13) r(k)),
+    CASE k % 4 WHEN 1 THEN 'egg' WHEN 2 THEN 'nut' ELSE '' END AS avoid, CASE k % 3 WHEN 1 THEN 'oats' WHEN 2 THEN 'olives' ELSE '' END AS banned,
+    CASE k % 5 WHEN 1 THEN 'vegetarian' WHEN 2 THEN 'third' WHEN 4 THEN 'vegan' ELSE '' END AS regime FROM range(1, 13) r(k)),
 rated AS (SELECT *, weight_kg * 10e0 + height_cm * 6.25e0 - age * 5e0 + CASE WHEN male THEN 5e0 ELSE -161e0 END AS rate FROM prof),
 daily AS (SELECT *, rate * activity AS d_calories, weight_kg * 0.75e0 AS d_protein_g, rate * activity * 0.50e0 / 4e0 AS d_carbs_g, rate * activity * 0.35e0 / 9e0 AS d_fat_g,
     rate * activity * 0.11e0 / 9e0 AS d_satfat_g, rate * activity * 0.05e0 / 4e0 AS d_sugar_g, 2400e0 AS d_sodium_mg FROM rated)

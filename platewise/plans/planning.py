@@ -8,33 +8,32 @@ from pyspark.sql import functions as F
 from platewise.functions import nutrition as N
 from platewise.functions.numeric import settled
 from platewise.operators import content, planner, ranking
-from platewise.operators.cleaning import SIDE_BREAKFAST_TAGS
+from platewise.operators.cleaning import SIDE_BREAKFAST_TAGS, first_rule
+from platewise.operators.lexicon import joined_text
 from platewise.plans import common as C
 from platewise.plans import scoring
 from platewise.plans.cleaning import parse_lists
 from platewise.plans.scoring import SCORED_SQL, _admitted_sql, _penalty_sql, _servings_sql
+from platewise.plans.text import SAMPLE, _fires
 from platewise.runtime import cut
 from platewise.sources.tables import table
 
-PANTRY = ("salt", "water", "sugar", "oil", "pepper")
+#: Words of ingredients that a kitchen keeps.
+PANTRY = (
+    "oil", "salt", "pepper", "water", "sugar", "flour", "butter",
+    "vinegar", "stock", "broth", "sauce", "spray", "yeast", "baking",
+    "vanilla", "cornstarch", "honey", "syrup", "wine", "seasoning",
+)
 
 
 def pool(spark: SparkSession, folder: str, profiles: list[dict] = C.PROFILES) -> DataFrame:
     """Items that pass the hard filter of each profile, with relevance, slots and ingredients."""
     sides = parse_lists(spark, folder).where(F.col("tag").isin(*SIDE_BREAKFAST_TAGS)).select("id").distinct().withColumn("side_breakfast", F.lit(True))
     base = C.items(spark, folder, "is_side", "has_unmappable", "ingredients", "is_breakfast", "is_lunch", "is_dinner")
-    from platewise.functions import text as T
-    from platewise.operators.lexicon import joined_text
-    from platewise.plans.text import SAMPLE
-
-    text = joined_text("ingredients")
-    base = base.withColumns({"text": text, "has_egg": SAMPLE.fires(text, "egg"), "has_nut": SAMPLE.fires(text, "nut")}).drop("ingredients")
+    base = scoring.flagged(base, spark, folder)
     base = base.join(scoring.vocabulary_items(spark, folder), "id", "left").join(sides, "id", "left")
     rows = C.for_profiles(base, profiles)
-    blocked = ((F.col("avoid") == "egg") & F.col("has_egg")) | ((F.col("avoid") == "nut") & F.col("has_nut")) | ((F.col("avoid") != "") & F.col("has_unmappable"))
-    for term in sorted({p["banned"] for p in profiles if p["banned"]}):
-        blocked = blocked | ((F.col("banned") == term) & T.excluded(F.col("text"), term))
-    return rows.where(~blocked).select(
+    return rows.where(first_rule(scoring.profile_rules(profiles)).isNull()).select(
         "profile_id", "id", *N.NUTRIENTS, "minutes", "is_side", F.coalesce("side_breakfast", F.lit(False)).alias("side_breakfast"),
         *(F.col(f"is_{s}").alias(f"in_{s}") for s in planner.SLOTS), F.coalesce("ingr", F.array().cast("array<string>")).alias("ingr"), C.taste().alias("relevance"),
     )
@@ -59,7 +58,10 @@ def plan_relax(spark: SparkSession, folder: str) -> DataFrame:
 
 def fixed_plan(spark: SparkSession, folder: str) -> DataFrame:
     """A plan by arithmetic: seven mains per profile and slot, one side per plate."""
-    items = C.items(spark, folder, "is_side", "is_breakfast", "is_lunch", "is_dinner", "ingredients_norm")
+    items = C.items(spark, folder, "is_side", "is_breakfast", "is_lunch", "is_dinner", "ingredients_norm", "ingredients", "has_unmappable")
+    text = joined_text("ingredients")
+    found = F.array_compact(F.array(*(F.when(SAMPLE.fires(text, c), F.lit(c)) for c in SAMPLE.classes)))
+    items = items.withColumn("classes", found).drop("ingredients")
     slots = F.array_compact(F.array(*(F.when(F.col(f"is_{s}") & ~F.col("is_side"), F.lit(s)) for s in planner.SLOTS), F.when(F.col("is_side"), F.lit("side"))))
     rows = C.for_profiles(items.withColumn("slot", F.explode(slots)).drop("is_side", "is_breakfast", "is_lunch", "is_dinner"))
     rows = rows.withColumn("key", (F.col("id") * 7919 + F.col("profile_id") * 104729) % 100003)
@@ -69,7 +71,7 @@ def fixed_plan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "profile_id", F.when(side, F.floor((F.col("rn") - 1) / 3)).otherwise(F.col("rn") - 1).cast("int").alias("day"), F.when(side, place).otherwise(F.col("slot")).alias("slot"),
         F.when(side, F.lit("side")).otherwise(F.lit("main")).alias("role"), "id", (0.5 + 0.5 * ((F.col("id") + F.col("profile_id")) % 3)).alias("servings"),
-        *N.NUTRIENTS, "minutes", F.coalesce("ingredients_norm", F.array().cast("array<string>")).alias("ingr"),
+        *N.NUTRIENTS, "minutes", F.coalesce("ingredients_norm", F.array().cast("array<string>")).alias("ingr"), "classes", "has_unmappable",
     )
 
 
@@ -79,9 +81,23 @@ def plate_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def plate_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of different ingredients on each plate."""
-    p = fixed_plan(spark, folder).groupBy("profile_id", "day", "slot").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ingr")))).alias("n_items"))
-    return p
+    """Each plate's number of different ingredients, the classes of any of its dishes, and whether one has an unresolved string."""
+    return fixed_plan(spark, folder).groupBy("profile_id", "day", "slot").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("ingr")))).alias("n_items"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))), ",").alias("classes"), F.bool_or("has_unmappable").alias("unmappable"),
+    )
+
+
+def slot_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Dinner candidates that pass, with limits on sodium and sugar as served, less what the fixed plan has used often enough."""
+    rows = scoring._filtered(spark, folder).where(F.col("failed").isNull() & F.col("is_dinner"))
+    share = N.SLOT_SHARE["dinner"]
+    rows = rows.withColumn("helpings", N.servings(F.col("calories"), C.daily()["calories"] * share)).where(
+        F.coalesce(F.col("helpings") * F.col("sodium_mg") <= F.col("max_sodium") * share, F.lit(True))
+        & F.coalesce(F.col("helpings") * F.col("sugar_g") <= F.col("max_sugar") * share, F.lit(True))
+    )
+    capped = use_counts(spark, folder).where("n >= 1").select("profile_id", "id")
+    return rows.join(capped, ["profile_id", "id"], "left_anti").groupBy("profile_id").agg(F.count("*").alias("n"), settled(F.sum("helpings"), 1).alias("helpings"))
 
 
 def day_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -263,22 +279,24 @@ def ablation(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        plan_week, plan_relax, plate_totals, plate_items, day_totals, week_stat, attainment, use_counts, day_running, leftover_singletons, leftover_suggest,
+        plan_week, plan_relax, plate_totals, plate_items, slot_filter, day_totals, week_stat, attainment, use_counts, day_running, leftover_singletons, leftover_suggest,
         edit_context, alternatives, replace_next, choose_alternative, plan_sides, plan_day_mains, ild, coverage, popularity_week, ablation,
     )
 }
 
 S = C.settled_sql
 _KEY = "(id * 7919 + profile_id * 104729) % 100003"
-_FIXED = "WITH " + C.PROFILES_SQL + ", " + C.ITEMS_SQL + ", slotted AS (" + " UNION ALL ".join(
-    [f"SELECT *, '{s}' AS s FROM items WHERE is_{s} AND NOT is_side" for s in planner.SLOTS] + ["SELECT *, 'side' AS s FROM items WHERE is_side"]
+_CLASSED = "classed AS (SELECT *, list_filter([" + ", ".join(f"CASE WHEN {_fires(c)} THEN '{c}' END" for c in SAMPLE.classes) + "], lambda x: x IS NOT NULL) AS classes FROM (SELECT *, lower(array_to_string(ingredients, ' | ')) AS text FROM items))"
+_PLAN = _CLASSED + ", slotted AS (" + " UNION ALL ".join(
+    [f"SELECT *, '{s}' AS s FROM classed WHERE is_{s} AND NOT is_side" for s in planner.SLOTS] + ["SELECT *, 'side' AS s FROM classed WHERE is_side"]
 ) + f"""), ranked AS (SELECT i.*, d.*, row_number() OVER (PARTITION BY profile_id, s ORDER BY {_KEY}, id) AS rn FROM slotted i, daily d),
 plan AS (SELECT *, CASE WHEN s = 'side' THEN (rn - 1) // 3 ELSE rn - 1 END::INTEGER AS day, CASE WHEN s = 'side' THEN ['breakfast', 'lunch', 'dinner'][(rn - 1) % 3 + 1] ELSE s END AS slot,
-    CASE WHEN s = 'side' THEN 'side' ELSE 'main' END AS role, 0.5e0 + 0.5e0 * ((id + profile_id) % 3) AS servings, coalesce(ingredients_norm, []) AS ingr FROM ranked WHERE rn <= 7 OR (s = 'side' AND rn <= 21)),
+    CASE WHEN s = 'side' THEN 'side' ELSE 'main' END AS role, 0.5e0 + 0.5e0 * ((id + profile_id) % 3) AS servings, coalesce(ingredients_norm, []) AS ingr, classes FROM ranked WHERE rn <= 7 OR (s = 'side' AND rn <= 21)),
 days AS (SELECT profile_id, day, {", ".join(f"sum(servings * {n}) AS {n}, any_value(d_{n}) AS d_{n}" for n in N.NUTRIENTS)} FROM plan GROUP BY 1, 2),
 plates AS (SELECT profile_id, day, slot, count(*) AS dishes, sum(minutes)::BIGINT AS minutes, {", ".join(f"sum(servings * {n}) AS {n}" for n in N.NUTRIENTS)} FROM plan GROUP BY 1, 2, 3),
 once AS (SELECT profile_id, item FROM (SELECT profile_id, unnest(ingr) AS item FROM plan) WHERE item IS NOT NULL AND NOT ({" OR ".join(f"contains(item, '{w}')" for w in PANTRY)}) GROUP BY 1, 2 HAVING count(*) = 1)
 """
+_FIXED = "WITH " + C.PROFILES_SQL + ", " + C.ITEMS_SQL + ", " + _PLAN
 _RANKED = SCORED_SQL + ", " + _admitted_sql() + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, id) AS rn FROM admitted)"
 _COUNTS = ", " + C.RATINGS_SQL + ", pop AS (SELECT id, count(*) AS n FROM ratings GROUP BY 1)"
 
@@ -300,7 +318,12 @@ def _day_sql() -> str:
 
 SQL = {
     "plate_totals": _FIXED + "SELECT profile_id, day, slot, dishes, minutes, " + ", ".join(f"{S(n, 3)} AS {n}" for n in N.NUTRIENTS) + " FROM plates",
-    "plate_items": _FIXED + ", e AS (SELECT profile_id, day, slot, unnest(CASE WHEN len(ingr) = 0 THEN [NULL] ELSE list_transform(ingr, lambda x: coalesce(x, chr(1))) END) AS i FROM plan) SELECT profile_id, day, slot, count(DISTINCT i)::INTEGER AS n_items FROM e GROUP BY 1, 2, 3",
+    "plate_items": _FIXED + """, e AS (SELECT profile_id, day, slot, unnest(CASE WHEN len(ingr) = 0 THEN [NULL] ELSE list_transform(ingr, lambda x: coalesce(x, chr(1))) END) AS i FROM plan),
+        n AS (SELECT profile_id, day, slot, count(DISTINCT i)::INTEGER AS n_items FROM e GROUP BY 1, 2, 3), c AS (SELECT DISTINCT profile_id, day, slot, unnest(classes) AS c FROM plan),
+        u AS (SELECT profile_id, day, slot, string_agg(c, ',' ORDER BY c) AS classes FROM c GROUP BY 1, 2, 3), b AS (SELECT profile_id, day, slot, bool_or(has_unmappable) AS unmappable FROM plan GROUP BY 1, 2, 3)
+        SELECT profile_id, day, slot, n_items, coalesce(classes, '') AS classes, unmappable FROM n JOIN b USING (profile_id, day, slot) LEFT JOIN u USING (profile_id, day, slot)""",
+    "slot_filter": scoring._FILTER + ", " + _PLAN + f", s AS (SELECT *, {_servings_sql('(d_calories * 0.4e0)')} AS helpings FROM filtered WHERE failed IS NULL AND is_dinner) SELECT profile_id, count(*) AS n, {S('sum(helpings)', 1)} AS helpings FROM s "
+    "WHERE coalesce(helpings * sodium_mg <= max_sodium * 0.4e0, true) AND coalesce(helpings * sugar_g <= max_sugar * 0.4e0, true) AND NOT EXISTS (SELECT 1 FROM plan p WHERE p.profile_id = s.profile_id AND p.id = s.id) GROUP BY 1",
     "day_totals": _FIXED + "SELECT profile_id, day, " + ", ".join(f"{S(n, 3)} AS {n}" for n in N.NUTRIENTS) + " FROM days",
     "week_stat": _FIXED + "SELECT profile_id, " + ", ".join(f"{S(f'max({n} / d_{n} * 100e0)', 2)} AS max_{n}, {S(f'avg({n} / d_{n} * 100e0)', 2)} AS avg_{n}" for n in N.NUTRIENTS) + " FROM days GROUP BY 1",
     "attainment": _FIXED + "SELECT profile_id, " + ", ".join(f"{S(f'avg({n} / d_{n} * 100e0)', 2)} AS reach_{n}" for n in ("calories", *N.TARGETED)) + ", " + ", ".join(f"{S(f'max({n} / d_{n} * 100e0)', 2)} AS worst_{n}" for n in N.CEILINGS)

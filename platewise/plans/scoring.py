@@ -12,7 +12,9 @@ from platewise.operators import content
 from platewise.operators.cleaning import first_rule
 from platewise.operators.lexicon import joined_text
 from platewise.plans import common as C
-from platewise.plans.text import SAMPLE, _fires
+from platewise.plans.profiling import TAGS_SQL
+from platewise.plans.text import BLACKLIST, SAMPLE, _fires, tag_and_term_flags
+from platewise.runtime import cut
 from platewise.sources.tables import table
 
 USED = ("salt", "onion", "butter", "water", "sugar")
@@ -32,10 +34,15 @@ def ingredient_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.join(df, "ingr").select("id", "ingr")
 
 
-def scored(spark: SparkSession, folder: str, slot: str = SLOT, emphasis: float = N.CEILING_EMPHASIS) -> DataFrame:
-    """Mains of a slot for each profile with helpings, the four penalties and a relevance."""
+def scored(spark: SparkSession, folder: str, slot: str = SLOT, emphasis: float = N.CEILING_EMPHASIS, often: bool = False) -> DataFrame:
+    """Mains of a slot for each profile with helpings, the four penalties and a relevance.
+
+    With ``often`` the items and their ingredients are written before the profiles
+    meet them, so a plan that reads the scores more than once joins once.
+    """
     rows = C.items(spark, folder, f"is_{slot}", "is_side").where(F.col(f"is_{slot}") & ~F.col("is_side"))
     rows = rows.join(vocabulary_items(spark, folder), "id", "left")
+    rows = cut(rows) if often else rows
     rows = C.for_profiles(rows.withColumn("ingr", F.coalesce("ingr", F.array().cast("array<string>"))))
     daily = C.daily()
     target = N.allowance(daily, {n: F.lit(0.0) for n in daily}, N.SLOT_SHARE[slot], N.MAIN_SHARE)
@@ -55,11 +62,15 @@ def _penalties() -> dict[str, Column]:
     return {n: F.col(n) for n in ("energy", "macros", "repetition", "time")}
 
 
+def _scaled(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Relevance scaled between the least and the greatest taste of each group; a row per group is broadcast."""
+    ends = rows.groupBy(*by).agg(F.min("taste").alias("low"), F.max("taste").alias("high"))
+    return rows.join(F.broadcast(ends), by).withColumn("relevance", N.scaled_relevance(F.col("taste"), F.col("low"), F.col("high")))
+
+
 def admitted(spark: SparkSession, folder: str, level: int = 0, emphasis: float = N.CEILING_EMPHASIS) -> DataFrame:
     """Rows inside the gates with their relevance scaled within the admitted set, and the score."""
-    rows = scored(spark, folder, emphasis=emphasis).where(N.admissible(_penalties(), level))
-    range_ = rows.groupBy("profile_id").agg(F.min("taste").alias("low"), F.max("taste").alias("high"))
-    rows = rows.join(range_, "profile_id").withColumn("relevance", N.scaled_relevance(F.col("taste"), F.col("low"), F.col("high")))
+    rows = _scaled(scored(spark, folder, emphasis=emphasis, often=True).where(N.admissible(_penalties(), level)), ["profile_id"])
     return rows.withColumn("score", settled(N.combine(F.col("relevance"), _penalties(), N.relaxed_weights(level)), 6))
 
 
@@ -118,12 +129,13 @@ def contributions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def relax_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """The best row of each profile at each level, gates and weights given up in order."""
-    found = [content.top_k(admitted(spark, folder, i), "profile_id", [F.desc("score"), F.col("id")], 1).select(F.lit(i).alias("level"), "profile_id", "id", "score") for i in range(5)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    """The best row of each profile at each level, gates and weights given up in order: all levels in one pass."""
+    levels = F.array_compact(F.array(*(F.when(N.admissible(_penalties(), i), F.lit(i)) for i in range(5))))
+    rows = _scaled(scored(spark, folder, often=True).withColumn("level", F.explode(levels)), ["profile_id", "level"])
+    given = [settled(N.combine(F.col("relevance"), _penalties(), N.relaxed_weights(i)), 6) for i in range(5)]
+    rows = rows.withColumn("score", F.element_at(F.array(*given), F.col("level") + 1))
+    best = rows.groupBy("level", "profile_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"))
+    return best.select("level", "profile_id", "b.id", "b.score")
 
 
 def relax_note(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,17 +161,29 @@ def sweep_main_share(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("profile_id", "share").agg(settled(F.min("energy"), 6).alias("least"), settled(F.avg("energy"), 3).alias("mean"))
 
 
-def _filtered(spark: SparkSession, folder: str) -> DataFrame:
-    """Mains and profiles with the ordered rules of the hard filter and the first that excludes."""
-    rows = C.items(spark, folder, "is_side", "has_unmappable", "ingredients", "is_dinner").where(~F.col("is_side"))
+def flagged(items: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Items with their lower-case text, the classes and the regimes that profiles name; ``ingredients`` is dropped."""
     text = joined_text("ingredients")
-    rows = rows.withColumns({"text": text, "has_egg": SAMPLE.fires(text, "egg"), "has_nut": SAMPLE.fires(text, "nut")}).drop("ingredients")
-    rows = C.for_profiles(rows)
+    rows = items.withColumns({"text": text, "has_egg": SAMPLE.fires(text, "egg"), "has_nut": SAMPLE.fires(text, "nut")}).drop("ingredients")
+    return rows.join(tag_and_term_flags(spark, folder), "id", "left")
+
+
+def profile_rules(profiles: list[dict] = C.PROFILES) -> list[tuple[str, Column]]:
+    """What excludes an item for a profile, in order: avoided classes, unresolved strings, the regime, banned terms."""
     avoids = ((F.col("avoid") == "egg") & F.col("has_egg")) | ((F.col("avoid") == "nut") & F.col("has_nut"))
-    banned = F.lit(False)
-    for term in sorted({p["banned"] for p in C.PROFILES if p["banned"]}):
+    fits = {"vegetarian": F.col("vegetarian"), "vegan": F.col("vegan"), "third": F.col("no_listed_term")}
+    outside, banned = F.lit(False), F.lit(False)
+    for regime, ok in fits.items():
+        outside = outside | ((F.col("regime") == regime) & ~F.coalesce(ok, F.lit(False)))
+    for term in sorted({p["banned"] for p in profiles if p["banned"]}):
         banned = banned | ((F.col("banned") == term) & T.excluded(F.col("text"), term))
-    return rows.withColumn("failed", first_rule([("avoided class", avoids), ("unresolved item", (F.col("avoid") != "") & F.col("has_unmappable")), ("banned term", banned)]))
+    return [("avoided class", avoids), ("unresolved item", (F.col("avoid") != "") & F.col("has_unmappable")), ("outside regime", outside), ("banned term", banned)]
+
+
+def _filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """Mains and profiles with the ordered rules of the hard filter and the first that excludes."""
+    rows = C.items(spark, folder, "is_side", "has_unmappable", "ingredients", "is_dinner").where(~F.col("is_side"))
+    return C.for_profiles(flagged(rows, spark, folder)).withColumn("failed", first_rule(profile_rules()))
 
 
 def hard_filter_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,19 +191,6 @@ def hard_filter_report(spark: SparkSession, folder: str) -> DataFrame:
     return _filtered(spark, folder).groupBy("profile_id", "failed").agg(F.count("*").alias("n"))
 
 
-def slot_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Dinner candidates that pass, with limits on sodium and sugar as served and a cap on repeats."""
-    rows = _filtered(spark, folder).where(F.col("failed").isNull() & F.col("is_dinner"))
-    helpings = N.servings(F.col("calories"), C.daily()["calories"] * N.SLOT_SHARE["dinner"])
-    share = N.SLOT_SHARE["dinner"]
-    rows = rows.withColumn("helpings", helpings).where(
-        F.coalesce(F.col("helpings") * F.col("sodium_mg") <= F.col("max_sodium") * share, F.lit(True))
-        & F.coalesce(F.col("helpings") * F.col("sugar_g") <= F.col("max_sugar") * share, F.lit(True))
-    )
-    # uses so far: every id divisible by 5 was used twice, which is the cap
-    return rows.where(F.col("id") % 5 != 0).groupBy("profile_id").agg(F.count("*").alias("n"), settled(F.sum("helpings"), 1).alias("helpings"))
-
-
 def affordable(spark: SparkSession, folder: str) -> DataFrame:
     rows = scored(spark, folder)
     day = C.daily()["calories"]
@@ -212,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingredient_matrix, bmr_targets, slot_shares_fixed, slot_allowance, servings, penalties, soft_gates, relevance_scaled, combine_topk, contributions,
-        relax_levels, relax_note, sweep_ceiling, sweep_main_share, hard_filter_report, slot_filter, affordable, drift, plan_slot,
+        relax_levels, relax_note, sweep_ceiling, sweep_main_share, hard_filter_report, affordable, drift, plan_slot,
     )
 }
 
@@ -262,9 +273,11 @@ def _admitted_sql(level: int = 0, name: str = "admitted") -> str:
 _TOP = "QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, id) <= {k}"
 _AHEAD = "greatest(d_calories * 0.45e0 - (d_calories * 1.1e0 - d_calories * 0.2e0 - greatest(helpings * calories, slot_kcal)), 0e0) / greatest(d_calories * 0.45e0, 1e0) * -0.4e0"
 _TEXT = "lower(array_to_string(ingredients, ' | '))"
-_FILTER = "WITH " + C.PROFILES_SQL + ", " + C.ITEMS_SQL + f""", mains AS (SELECT *, {_TEXT} AS text FROM items WHERE NOT is_side),
-tagged AS (SELECT *, {_fires("egg")} AS has_egg, {_fires("nut")} AS has_nut FROM mains),
+_FILTER = "WITH " + TAGS_SQL + ", " + C.PROFILES_SQL + ", " + C.ITEMS_SQL + f""", mains AS (SELECT *, {_TEXT} AS text FROM items WHERE NOT is_side),
+tagged AS (SELECT *, {_fires("egg")} AS has_egg, {_fires("nut")} AS has_nut, id IN (SELECT id FROM tag_set WHERE tag = 'vegetarian') AS vegetarian,
+    id IN (SELECT id FROM tag_set WHERE tag = 'vegan') AS vegan, NOT coalesce({" OR ".join(f"contains(text, '{t}')" for t in BLACKLIST)}, false) AS no_listed_term FROM mains),
 filtered AS (SELECT t.*, d.*, CASE WHEN (avoid = 'egg' AND has_egg) OR (avoid = 'nut' AND has_nut) THEN 'avoided class' WHEN avoid <> '' AND has_unmappable THEN 'unresolved item'
+    WHEN (regime = 'vegetarian' AND NOT vegetarian) OR (regime = 'vegan' AND NOT vegan) OR (regime = 'third' AND NOT no_listed_term) THEN 'outside regime'
     WHEN {" OR ".join(f"coalesce(banned = '{t}' AND regexp_matches(text, '{T.exclusion_pattern(t)}'), false)" for t in ("oats", "olives"))} THEN 'banned term' END AS failed FROM tagged t, daily d)
 """
 SQL = {
@@ -287,8 +300,6 @@ SQL = {
         s AS (SELECT *, {_servings_sql("t")} AS helpings FROM c), e AS (SELECT *, abs(helpings * calories - greatest(t, 1e0)) / greatest(t, 1e0) AS energy FROM s)
         SELECT profile_id, share, {S("min(energy)", 6)} AS least, {S("avg(energy)", 3)} AS mean FROM e GROUP BY 1, 2""",
     "hard_filter_report": _FILTER + "SELECT profile_id, failed, count(*) AS n FROM filtered GROUP BY 1, 2",
-    "slot_filter": _FILTER + f", s AS (SELECT *, {_servings_sql('(d_calories * 0.4e0)')} AS helpings FROM filtered WHERE failed IS NULL AND is_dinner) SELECT profile_id, count(*) AS n, {S('sum(helpings)', 1)} AS helpings FROM s "
-    "WHERE coalesce(helpings * sodium_mg <= max_sodium * 0.4e0, true) AND coalesce(helpings * sugar_g <= max_sugar * 0.4e0, true) AND id % 5 <> 0 GROUP BY 1",
     "affordable": SCORED_SQL + "SELECT profile_id, count(*) AS n, count(*) FILTER (d_calories * 0.45e0 + greatest(helpings * calories, slot_kcal) + d_calories * 0.2e0 <= d_calories * 1.1e0) AS n_affordable FROM scored GROUP BY 1",
     "drift": "WITH " + C.PROFILES_SQL + ", n AS (SELECT profile_id, weight_kg + CASE WHEN profile_id % 4 = 0 THEN 1 ELSE 0 END AS w, CASE WHEN profile_id % 6 = 1 THEN 'nut' ELSE avoid END AS v FROM prof) "
     "SELECT profile_id, concat_ws(',', CASE WHEN p.weight_kg IS DISTINCT FROM w THEN 'weight_kg' END, CASE WHEN p.avoid IS DISTINCT FROM v THEN 'avoid' END) AS changed, p.avoid IS DISTINCT FROM v AS safety FROM prof p JOIN n USING (profile_id)",
