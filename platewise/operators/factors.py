@@ -119,3 +119,9 @@ def rank_items(queries: DataFrame, items: DataFrame, k: int, broadcast_rows: int
         pairs = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(copies, "block").where(F.size("q") == F.size("p"))
     scored = pairs.select("user", "id", (F.floor(dot(F.col("q"), F.col("p")) * 1e6 + 0.5) / 1e6).alias("score"))
     return top_k(scored, "user", [F.desc("score"), F.col("id")], k).select("user", "rn", "id", "score")
+
+
+def as_terms(vectors: DataFrame, key: str, values: str, extra: str | None = None) -> DataFrame:
+    """``(key, token, w)``: the values of dense vectors by place, with column ``extra`` as one more."""
+    terms = vectors.select(key, F.posexplode(values).alias("place", "w")).select(key, F.col("place").cast("string").alias("token"), "w")
+    return terms if extra is None else terms.unionByName(vectors.select(key, F.lit("+").alias("token"), F.col(extra).cast("double").alias("w")))

@@ -47,6 +47,28 @@ def popularity_hits(train: DataFrame, held: DataFrame, cutoff: int = max(CUTOFFS
     return placed.where("held = 1").select("user", "id", (F.col("pop_rank") - 1 - F.col("seen_before")).alias("rank0")).where(F.col("rank0") < cutoff)
 
 
+def shuffled_hits(catalogue: DataFrame, train: DataFrame, held: DataFrame, order: Column, shift: Column, cutoff: int = max(CUTOFFS)) -> DataFrame:
+    """``(user, id, rank0)`` of held-out items in a random list of all items ``(id)`` without those the user has rated.
+
+    All lists are one circle of the items, in the order of ``order`` and the id, and each
+    user's begins at ``shift`` of it: an item's place is arithmetic, and no list is built.
+    """
+    n = catalogue.count()
+    places = numbered(catalogue.select("id"), [order, F.col("id")], "place")
+    users = held.select("user").distinct()
+    seen = train.join(users, "user", "left_semi").select("user", "id")
+    both = seen.withColumn("held", F.lit(0)).unionByName(held.select("user", "id").withColumn("held", F.lit(1))).join(places, "id")
+    both = both.withColumn("at", F.pmod(F.col("place") - 1 - shift, F.lit(max(n, 1))))
+    before = Window.partitionBy("user").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("seen_before", F.coalesce(F.sum(1 - F.col("held")).over(before), F.lit(0)))
+    return placed.where("held = 1").select("user", "id", (F.col("at") - F.col("seen_before")).alias("rank0")).where(F.col("rank0") < cutoff)
+
+
+def list_hits(lists: DataFrame, held: DataFrame) -> DataFrame:
+    """``(user, id, rank0)`` of held-out items in ranked lists ``(user, rn, id)``."""
+    return lists.join(held.select("user", "id"), ["user", "id"]).select("user", "id", (F.col("rn") - 1).alias("rank0"))
+
+
 def metrics(hits: DataFrame, held: DataFrame, groups: DataFrame | None = None, cutoffs=CUTOFFS) -> DataFrame:
     """Mean precision, recall and NDCG at each cutoff over all users with held-out items.
 

@@ -151,12 +151,104 @@ def prf_ndcg(spark: SparkSession, folder: str) -> DataFrame:
 def by_population(spark: SparkSession, folder: str) -> DataFrame:
     """The same by length of the training history."""
     train, held, _ = _held(spark, folder)
-    n = train.groupBy("user").agg(F.count("*").alias("n"))
-    groups = held.select("user").distinct().join(n, "user", "left").select("user", F.when(F.col("n") >= 10, "warm").otherwise("cold").alias("population"))
-    m = ranking.metrics(ranking.popularity_hits(train, held), held, groups)
+    m = ranking.metrics(ranking.popularity_hits(train, held), held, _populations(train, held))
     return m.select("population", "k", "users", *(settled(F.col(c), 6).alias(c) for c in ("precision", "recall", "ndcg")))
 
 
+def _populations(train: DataFrame, held: DataFrame) -> DataFrame:
+    n = train.groupBy("user").agg(F.count("*").alias("n"))
+    return held.select("user").distinct().join(n, "user", "left").select("user", F.when(F.col("n") >= 10, "warm").otherwise("cold").alias("population"))
+
+
+def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "corpus", "id")
+
+
+def _random_hits(spark: SparkSession, folder: str, train: DataFrame, held: DataFrame) -> DataFrame:
+    return ranking.shuffled_hits(_catalogue(spark, folder), train, held, (F.col("id") * 7919) % 10007, F.col("user") * 104729)
+
+
+def _content_lists(spark: SparkSession, folder: str, train: DataFrame, users: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` best items of each of ``users`` by content, from the ratings kept for training."""
+    weights = cut(_weights(spark, folder))
+    mine = train.join(users, "user", "left_semi")
+    return content.cosine_top(weights, content.user_vectors(weights, mine), mine.select("user", "id"), k)
+
+
+def _factor_lists(spark: SparkSession, folder: str, train: DataFrame, users: DataFrame, k: int = 20, predicted: bool = False) -> DataFrame:
+    """The same by the product of trained factors, or by the predicted rating, whose item bias then counts too."""
+    _, item, _, q, p = factors.factorise(train)
+    items = cut(q.join(item, "id").join(_catalogue(spark, folder), "id", "left_semi"))
+    asked = p.join(users, "user", "left_semi").withColumn("one", F.lit(1.0))
+    terms = factors.as_terms(items, "id", "q", "bi" if predicted else None), factors.as_terms(asked, "user", "p", "one" if predicted else None)
+    return content.cosine_top(cut(terms[0]), terms[1], train.join(users, "user", "left_semi").select("user", "id"), k)
+
+
+def _routes(spark: SparkSession, folder: str, train: DataFrame, users: DataFrame) -> DataFrame:
+    """``(user, route)``: factors from ten ratings of known items on, else content."""
+    known = train.join(_catalogue(spark, folder), "id", "left_semi").groupBy("user").agg(F.count("*").alias("n"))
+    return users.join(known, "user", "left").select("user", F.when(F.col("n") >= 10, "factors").otherwise("content").alias("route"))
+
+
+def switched(spark: SparkSession, folder: str, train: DataFrame, users: DataFrame, by_content: DataFrame, by_factors: DataFrame) -> DataFrame:
+    """Each user's list from the recommender that the user is routed to."""
+    route = _routes(spark, folder, train, users)
+    found = [lists.join(route.where(F.col("route") == name), "user", "left_semi") for name, lists in (("content", by_content), ("factors", by_factors))]
+    return found[0].unionByName(found[1])
+
+
+def _systems(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Hits of five systems, with the training and the held-out ratings."""
+    train, held, _ = _held(spark, folder)
+    train, users = cut(train), held.select("user").distinct()
+    by_content, by_factors = _content_lists(spark, folder, train, users), _factor_lists(spark, folder, train, users)
+    lists = {"content": by_content, "factors": by_factors, "switching": switched(spark, folder, train, users, by_content, by_factors)}
+    hits = {"random": _random_hits(spark, folder, train, held), "popularity": ranking.popularity_hits(train, held)}
+    return hits | {name: ranking.list_hits(x, held) for name, x in lists.items()}, train, held
+
+
+def _reported(hits: dict[str, DataFrame], held: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    out = None
+    for name, found in hits.items():
+        one = ranking.metrics(found, held, groups).select(F.lit(name).alias("system"), "population", "k", "users", *(settled(F.col(c), 6).alias(c) for c in ("precision", "recall", "ndcg")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def prf_random(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision, recall and NDCG of random lists."""
+    train, held, _ = _held(spark, folder)
+    return _reported({"random": _random_hits(spark, folder, train, held)}, held).drop("system", "population")
+
+
+def prf_content(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision, recall and NDCG of the lists by content."""
+    train, held, _ = _held(spark, folder)
+    lists = _content_lists(spark, folder, cut(train), held.select("user").distinct())
+    return _reported({"content": ranking.list_hits(lists, held)}, held).drop("system", "population")
+
+
+def prf_systems(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision, recall and NDCG of random, popularity, content, factors and switching."""
+    hits, _, held = _systems(spark, folder)
+    return _reported(hits, held).drop("population")
+
+
+def by_population_systems(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by length of the training history."""
+    hits, train, held = _systems(spark, folder)
+    return _reported(hits, held, cut(_populations(train, held)))
+
+
+def ordering_support(spark: SparkSession, folder: str) -> DataFrame:
+    """Median popularity of the ten best items of users with held-out ratings, ordered by predicted rating and by factors."""
+    train, held, _ = _held(spark, folder)
+    train, users = cut(train), held.select("user").distinct()
+    counts = train.groupBy("id").agg(F.count("*").alias("n"))
+    found = [_support(_factor_lists(spark, folder, train, users, 10, p), counts).select(F.lit(name).alias("ordering"), "*") for name, p in (("predicted rating", True), ("factors", False))]
+    return found[0].unionByName(found[1])
+
+
 def _support(best: DataFrame, counts: DataFrame) -> DataFrame:
     per_user = best.join(counts, "id", "left").groupBy("user").agg(F.median(F.coalesce("n", F.lit(0))).alias("m"))
     return per_user.agg(F.count("*").alias("users"), F.median("m").alias("median_support"))
@@ -178,7 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tfidf, heaviest_terms, user_vector, cosine_topk, popularity, mean_baselines_rmse, predicted_rating, mf_train, latent_rank, fold_in, known_item_count,
-        user_vector_all, switch_route, eligible_users, holdout_split, prf_ndcg, by_population, top10_support, top10_support_all,
+        user_vector_all, prf_random, prf_content, prf_systems, by_population_systems, ordering_support, switch_route, eligible_users, holdout_split, prf_ndcg, by_population, top10_support, top10_support_all,
     )
 }
 
@@ -203,16 +295,29 @@ _SPLIT = "WITH " + C.RATINGS_SQL + """, train AS (SELECT * FROM ratings WHERE ("
 _ELIGIBLE = """eligible AS (SELECT "user", count(*) AS n, count(*) FILTER (rating >= 4) AS positives FROM ratings GROUP BY 1 HAVING count(*) >= 10 AND count(*) FILTER (rating >= 4) >= 5)"""
 _HELD = "WITH " + C.RATINGS_SQL + ", " + _ELIGIBLE + """, held AS (SELECT "user", id FROM ratings JOIN eligible USING ("user") WHERE rating >= 4
     QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY ("user" * 31 + id * 7919) % 10007, id) <= greatest(2, round_even(positives * 0.2e0, 0)))"""
-_HITS = _HELD + """, train AS (SELECT * FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h."user" = r."user" AND h.id = r.id)),
-pop AS (SELECT id, row_number() OVER (ORDER BY count(*) DESC, id) AS r FROM train GROUP BY id),
-lists AS (SELECT u."user", pop.id, row_number() OVER (PARTITION BY u."user" ORDER BY r) - 1 AS rank0 FROM (SELECT DISTINCT "user" FROM held) u, pop
-    WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t."user" = u."user" AND t.id = pop.id)),
+_TRAIN = _HELD + """, train AS (SELECT * FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h."user" = r."user" AND h.id = r.id))"""
+_PER = """,
 hits AS (SELECT h."user", h.id, rank0 FROM held h JOIN lists l ON l."user" = h."user" AND l.id = h.id WHERE rank0 < 20),
 rel AS (SELECT "user", count(*) AS n, CASE WHEN (SELECT count(*) FROM train t WHERE t."user" = held."user") >= 10 THEN 'warm' ELSE 'cold' END AS population FROM held GROUP BY "user"),
 per AS (SELECT rel."user", population, n, k, (SELECT count(*) FROM hits h WHERE h."user" = rel."user" AND rank0 < k) AS h,
     coalesce((SELECT sum(1e0 / log2(rank0 + 2e0)) FROM hits h WHERE h."user" = rel."user" AND rank0 < k), 0e0) AS d,
     (SELECT sum(1e0 / log2(i + 1e0)) FROM range(1, least(n, k) + 1) x(i)) AS ideal FROM rel, (VALUES (5), (10), (20)) v(k))
 """
+_HITS = _TRAIN + """,
+pop AS (SELECT id, row_number() OVER (ORDER BY count(*) DESC, id) AS r FROM train GROUP BY id),
+lists AS (SELECT u."user", pop.id, row_number() OVER (PARTITION BY u."user" ORDER BY r) - 1 AS rank0 FROM (SELECT DISTINCT "user" FROM held) u, pop
+    WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t."user" = u."user" AND t.id = pop.id))""" + _PER
+_RANDOM = _TRAIN + """,
+places AS (SELECT id, row_number() OVER (ORDER BY (id * 7919) % 10007, id) - 1 AS place, count(*) OVER () AS n FROM corpus),
+lists AS (SELECT u."user", p.id, row_number() OVER (PARTITION BY u."user" ORDER BY (((place - u."user" * 104729) % n) + n) % n) - 1 AS rank0 FROM (SELECT DISTINCT "user" FROM held) u, places p
+    WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t."user" = u."user" AND t.id = p.id))""" + _PER
+_CONTENT = _TRAIN + ", " + _WEIGHTS.replace("WITH ", "", 1) + """, centred AS (SELECT "user", id, (rating - 3)::DOUBLE AS c FROM train WHERE rating <> 3 AND "user" IN (SELECT "user" FROM held)),
+totals AS (SELECT "user", sum(abs(c)) AS total FROM centred GROUP BY 1),
+sums AS (SELECT "user", token, sum(c * w) / any_value(total) AS w FROM centred JOIN weights USING (id) JOIN totals USING ("user") GROUP BY 1, 2),
+norms AS (SELECT "user", sqrt(sum(w * w)) AS norm FROM sums GROUP BY 1),
+vectors AS (SELECT "user", token, w / norm AS w FROM sums JOIN norms USING ("user") WHERE norm > 0),
+""" + f"""cos_ AS (SELECT v."user", t.id, {S("sum(t.w * v.w)", 6)} AS score FROM weights t JOIN vectors v USING (token) GROUP BY 1, 2),
+lists AS (SELECT "user", id, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, id) - 1 AS rank0 FROM cos_ c WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t."user" = c."user" AND t.id = c.id))""" + _PER
 _MEANS = ", ".join(f"{S(e, 6)} AS {n}" for n, e in (("precision", "avg(h / k::DOUBLE)"), ("recall", "avg(h / n::DOUBLE)"), ("ndcg", "avg(d / ideal)")))
 SQL = {
     "tfidf": _WEIGHTS + f"SELECT id, token, {S('w', 6)} AS w FROM weights",
@@ -235,6 +340,8 @@ SQL = {
     "eligible_users": "WITH " + C.RATINGS_SQL + ", " + _ELIGIBLE + "SELECT * FROM eligible",
     "holdout_split": _HELD + "SELECT * FROM held",
     "prf_ndcg": _HITS + f"SELECT k, count(*) AS users, {_MEANS} FROM per GROUP BY 1",
+    "prf_random": _RANDOM + f"SELECT k, count(*) AS users, {_MEANS} FROM per GROUP BY 1",
+    "prf_content": _CONTENT + f"SELECT k, count(*) AS users, {_MEANS} FROM per GROUP BY 1",
     "by_population": _HITS + f"SELECT population, k, count(*) AS users, {_MEANS} FROM per GROUP BY 1, 2",
     "top10_support": _COSINE + """, pop AS (SELECT id, count(*) AS n FROM ratings GROUP BY 1), m AS (SELECT "user", median(coalesce(n, 0)::DOUBLE) AS m FROM best LEFT JOIN pop USING (id) GROUP BY 1)
         SELECT count(*) AS users, median(m) AS median_support FROM m""",
