@@ -31,6 +31,7 @@ class State:
     profile: dict
     daily: dict[str, float]
     rows: list[dict] = field(default_factory=list)
+    rejected: set[int] = field(default_factory=set)
 
     def eaten(self, day: int, without: str | None = None) -> dict[str, float]:
         mine = [r for r in self.rows if r["day"] == day and r["slot"] != without]
@@ -44,7 +45,7 @@ class State:
         count: dict[int, int] = {}
         for r in self.rows:
             count[r["id"]] = count.get(r["id"], 0) + 1
-        return [i for i, n in count.items() if side or n >= most]
+        return sorted(self.rejected | {i for i, n in count.items() if side or n >= most})
 
     def used(self) -> list[str]:
         return sorted({i for r in self.rows for i in r["ingr"]})
@@ -125,11 +126,14 @@ def choose_sides(pool: DataFrame, slot: str, rows: list[tuple]) -> list:
 class Planner:
     """Plans of one block of profiles over a pool ``(profile_id, id, relevance, ingr, in_<slot>, is_side, ...)``."""
 
-    def __init__(self, pool: DataFrame, profiles: list[dict], most_repeats: int = 2):
+    def __init__(self, pool: DataFrame, profiles: list[dict], most_repeats: int = 2, locked: list[dict] = ()):
+        """``locked`` are rows of an earlier :meth:`plan`: their slots are kept and count as eaten and used."""
         if len(profiles) > BLOCK:
             raise ValueError(f"plan blocks of at most {BLOCK} profiles")
         self.pool, self.most = pool, most_repeats
         self.states = {p["profile_id"]: State(p, daily_targets(p)) for p in profiles}
+        for r in locked:
+            self.states[r["profile_id"]].rows.append(dict(r))
 
     def _row(self, s: State, day: int, slot: str, side: bool = False) -> tuple | None:
         eaten = s.eaten(day, None if side else slot)
@@ -174,12 +178,31 @@ class Planner:
             going = self._place(choose_sides(self.pool, slot, rows), day, slot, "side", pos, level)
         return done
 
+    def replace(self, day: int, slot: str) -> set[int]:
+        """Reject each profile's main of a slot for good and fill the slot again, the rest of the plan as it is.
+
+        The candidates are scored anew against what the rest leaves; the sides are chosen
+        anew too.  A profile without a main there is left alone.
+        """
+        asked: dict[int, set[int]] = {}
+        for k, s in self.states.items():
+            mains = [r for r in s.rows if (r["day"], r["slot"], r["role"]) == (day, slot, "main")]
+            if mains:
+                s.rejected |= {r["id"] for r in mains}
+                s.rows = [r for r in s.rows if (r["day"], r["slot"]) != (day, slot)]
+                asked.setdefault(mains[0]["level"], set()).add(k)
+        done: set[int] = set()
+        for level, keys in sorted(asked.items()):
+            done |= self.fill(day, slot, level, keys)
+        return done
+
     def week(self, days: int = DAYS) -> list[dict]:
         """All slots in order, then the unfilled ones at rising levels of relaxation."""
         missing: list[tuple[int, str, set[int]]] = []
         for day in range(days):
             for slot in SLOTS:
-                left = set(self.states) - self.fill(day, slot)
+                left = {k for k, s in self.states.items() if slot not in s.filled(day)}
+                left -= self.fill(day, slot)
                 if left:
                     missing.append((day, slot, left))
         for day, slot, left in missing:

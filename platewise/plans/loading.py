@@ -28,6 +28,21 @@ def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return loaded(_parsed(spark, folder)).drop("offset")
 
 
+def p2_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and faults per block of text: a file's lines joined by hundreds into texts of many records.
+
+    After a broken quote the grammar resumes at the next record start, so a fault costs
+    its own record.  Every line is in exactly one text.
+    """
+    lines = table(spark, folder, "recipe_lines", "line_no", "file_name", "raw_line").where("raw_line is not null")
+    blocks = lines.groupBy("file_name", F.floor(F.col("line_no") / 100).alias("block")).agg(
+        F.min("line_no").alias("first_line"), F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw_line"))), lambda x: x["raw_line"]), "\n").alias("text")
+    )
+    parsed = parse_records(blocks.select("first_line", "text"), "first_line", "text", many=True)
+    counted = parsed.groupBy("first_line").agg(F.count("*").alias("records"), *(F.count_if(F.col("reason") == r).alias(r) for r in ("quoting", "column_count", "nutrition", "ingredients")))
+    return blocks.select("file_name", "first_line", "lines").join(counted, "first_line", "left")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return explode_packed(table(spark, folder, "recipes", "id", *RECIPE_FIELDS), "id", RECIPE_FIELDS)
 
@@ -39,7 +54,7 @@ def p4_field_sizes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_errors, p2_loaded, p4_found, p4_field_sizes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_errors, p2_loaded, p2_text, p4_found, p4_field_sizes)}
 
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 SQL = {

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from platewise.functions import nutrition as N
 from platewise.functions.numeric import settled
-from platewise.operators import content, planner, ranking
+from platewise.operators import content, planner, ranking, ranks
 from platewise.operators.cleaning import SIDE_BREAKFAST_TAGS, first_rule
 from platewise.operators.lexicon import joined_text
 from platewise.plans import common as C
-from platewise.plans import scoring
+from platewise.plans import recommend, scoring
 from platewise.plans.cleaning import parse_lists
 from platewise.plans.scoring import SCORED_SQL, _admitted_sql, _penalty_sql, _servings_sql
 from platewise.plans.text import SAMPLE, _fires
@@ -26,16 +26,29 @@ PANTRY = (
 )
 
 
+def relevance(spark: SparkSession, folder: str, profiles: list[dict]) -> DataFrame:
+    """``(profile_id, id, relevance)``: cosine of items with the taste of the user whose ratings a profile has.
+
+    The n-th profile has those of the n-th most active user.
+    """
+    rated = C.ratings(spark, folder)
+    most = ranks.numbered(rated.groupBy("user").agg(F.count("*").alias("n")), [F.desc("n"), F.col("user")], "profile_id")
+    owners = cut(most.where(F.col("profile_id").isin([p["profile_id"] for p in profiles])).select("user", F.col("profile_id").cast("int").alias("profile_id")))
+    weights = cut(recommend._weights(spark, folder))
+    vectors = cut(content.user_vectors(weights, rated.join(F.broadcast(owners), "user").select("user", "id", "rating")))  # a row per profile
+    return content.cosine(weights, vectors).join(F.broadcast(owners), "user").select("profile_id", "id", settled(F.col("score"), 6).alias("relevance"))
+
+
 def pool(spark: SparkSession, folder: str, profiles: list[dict] = C.PROFILES) -> DataFrame:
     """Items that pass the hard filter of each profile, with relevance, slots and ingredients."""
     sides = parse_lists(spark, folder).where(F.col("tag").isin(*SIDE_BREAKFAST_TAGS)).select("id").distinct().withColumn("side_breakfast", F.lit(True))
     base = C.items(spark, folder, "is_side", "has_unmappable", "ingredients", "is_breakfast", "is_lunch", "is_dinner")
     base = scoring.flagged(base, spark, folder)
     base = base.join(scoring.vocabulary_items(spark, folder), "id", "left").join(sides, "id", "left")
-    rows = C.for_profiles(base, profiles)
+    rows = C.for_profiles(base, profiles).join(relevance(spark, folder, profiles), ["profile_id", "id"], "left")
     return rows.where(first_rule(scoring.profile_rules(profiles)).isNull()).select(
         "profile_id", "id", *N.NUTRIENTS, "minutes", "is_side", F.coalesce("side_breakfast", F.lit(False)).alias("side_breakfast"),
-        *(F.col(f"is_{s}").alias(f"in_{s}") for s in planner.SLOTS), F.coalesce("ingr", F.array().cast("array<string>")).alias("ingr"), C.taste().alias("relevance"),
+        *(F.col(f"is_{s}").alias(f"in_{s}") for s in planner.SLOTS), F.coalesce("ingr", F.array().cast("array<string>")).alias("ingr"), F.coalesce("relevance", F.lit(0.0)).alias("relevance"),
     )
 
 
@@ -45,9 +58,33 @@ def plan_week(spark: SparkSession, folder: str) -> DataFrame:
     return planner.as_table(spark, planner.Planner(cut(pool(spark, folder, profiles)), profiles).week()).drop("ingr")
 
 
+def plan_locked(spark: SparkSession, folder: str) -> DataFrame:
+    """One day planned around its lunch, which was chosen first."""
+    candidates = cut(pool(spark, folder))
+    first = planner.Planner(candidates, C.PROFILES)
+    first.fill(0, "lunch")
+    later = planner.Planner(candidates, C.PROFILES, locked=first.plan())
+    return planner.as_table(spark, later.week(1)).drop("ingr")
+
+
+def plan_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """The planner's own two days by profile: energy reached, days within all ceilings, dissimilarity of the mains, and meals that break a rule."""
+    candidates = cut(pool(spark, folder))
+    plan = cut(planner.as_table(spark, planner.Planner(candidates, C.PROFILES).week(2)))
+    d = _with_daily(planner.days(plan))
+    met = F.lit(True)
+    for n in N.CEILINGS:
+        met = met & (F.col(n) <= F.col(f"d_{n}"))
+    reach = d.groupBy("profile_id").agg(settled(F.avg(F.col("calories") / F.col("d_calories") * 100.0), 2).alias("reach_calories"), F.count_if(met).alias("days_met"))
+    mains = plan.where("role = 'main'").withColumn("at", F.concat_ws("-", "day", "slot"))
+    unlike = ranking.dissimilarity(mains, "profile_id", "ingr", "at").select("profile_id", settled(F.col("ild")).alias("ild"))
+    broken = plan.join(scoring._filtered(spark, folder).where("failed is not null").select("profile_id", "id", "failed"), ["profile_id", "id"])
+    return reach.join(unlike, "profile_id", "left").join(broken.groupBy("profile_id").agg(F.count("*").alias("violations")), "profile_id", "left").na.fill(0, ["violations"])
+
+
 def plan_relax(spark: SparkSession, folder: str) -> DataFrame:
-    """One breakfast at each level of relaxation, for profiles with tight limits."""
-    profiles = C.PROFILES[4:8]
+    """One breakfast at each level of relaxation."""
+    profiles = C.PROFILES
     rows, candidates = [], cut(pool(spark, folder, profiles))
     for level in range(5):
         p = planner.Planner(candidates, profiles)
@@ -196,16 +233,11 @@ def replace_next(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def choose_alternative(spark: SparkSession, folder: str) -> DataFrame:
-    """One slot planned, then planned again with its first choice rejected: the plate with new sides."""
-    profiles = C.PROFILES[:4]
-    p = planner.Planner(cut(pool(spark, folder, profiles)), profiles)
-    p.fill(0, "dinner")
-    rejected = [(s.profile["profile_id"], r["id"]) for s in p.states.values() for r in s.rows if r["role"] == "main"]
-    for s in p.states.values():
-        s.rows.clear()
-    away = spark.createDataFrame(rejected, "profile_id int, id long")
-    p.pool = p.pool.join(F.broadcast(away), ["profile_id", "id"], "left_anti")  # one row per profile
+    """A dinner after lunch, whose main is then rejected and replaced with new sides, lunch as it is."""
+    p = planner.Planner(cut(pool(spark, folder)), C.PROFILES)
+    p.fill(0, "lunch")
     p.fill(0, "dinner")
+    p.replace(0, "dinner")
     return planner.as_table(spark, p.plan()).drop("ingr")
 
 
@@ -279,7 +311,7 @@ def ablation(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        plan_week, plan_relax, plate_totals, plate_items, slot_filter, day_totals, week_stat, attainment, use_counts, day_running, leftover_singletons, leftover_suggest,
+        plan_week, plan_relax, plan_locked, plan_evaluation, plate_totals, plate_items, slot_filter, day_totals, week_stat, attainment, use_counts, day_running, leftover_singletons, leftover_suggest,
         edit_context, alternatives, replace_next, choose_alternative, plan_sides, plan_day_mains, ild, coverage, popularity_week, ablation,
     )
 }

@@ -69,3 +69,13 @@ def test_results_do_not_depend_on_partitions(spark, data, partitions):
         assert normalise_residue(spark, data).count() == spark.read.parquet(f"{data}/corpus.parquet").count()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_large_mappings_are_looked_up_alike(spark):
+    from platewise.operators import cleaning as C
+
+    df = spark.createDataFrame([(1, ["Salt ", "x", None]), (2, None), (3, ["SALT"] * 9)], "id long, items array<string>")
+    mapping = spark.createDataFrame([("salt", "Sea Salt"), ("y", None), (None, "z")], "raw_ingr string, replaced string")
+    want = {1: (["sea salt", "x"], True), 2: ([], False), 3: (["sea salt"] * 9, False)}
+    for sent in (500_000, 0):
+        assert {r["id"]: (r["norm"], r["has_unmappable"]) for r in C.normalise(df, "id", "items", mapping, sent=sent).collect()} == want

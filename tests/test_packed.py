@@ -58,3 +58,14 @@ def test_rows_are_exploded_once_per_key(spark):
         (1, "nutrition", 0, "1"), (1, "nutrition", 1, "2"), (None, "ingredients", 0, "c"),
     }
     assert explode_packed(df.limit(0), "id", RECIPE_FIELDS).count() == 0
+
+
+def test_repeated_and_null_keys(spark):
+    from platewise.operators.packed import PHRASES, explode_packed, packed_values
+
+    rows = [(1, "a, b"), (1, "['a', 'b']"), (1, "a,c"), (2, "x, x"), (None, "q"), (None, "q"), (None, "r"), (3, None)]
+    df = spark.createDataFrame(rows, "id long, tags string")
+    got = sorted((r["id"] or 0, r["pos"], r["val"]) for r in explode_packed(df, "id", {"tags": PHRASES}).collect())
+    assert got == [(0, 0, "q"), (0, 0, "r"), (1, 0, "a"), (1, 1, "b"), (1, 1, "c"), (2, 0, "x"), (2, 1, "x")]
+    assert sorted((r["id"] or 0, r["val"]) for r in packed_values(df, "id", {"tags": PHRASES}).collect()) == [(0, "q"), (0, "r"), (1, "a"), (1, "b"), (1, "c"), (2, "x")]
+    assert explode_packed(df.limit(0), "id", {"tags": PHRASES}).count() == 0

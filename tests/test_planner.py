@@ -39,3 +39,19 @@ def test_no_dish_of_an_avoided_class(spark, planned):
 def test_an_empty_pool_plans_nothing(planned):
     p = PL.Planner(planned.pool.limit(0), [C.PROFILES[0]])
     assert p.fill(0, "lunch") == set() and p.plan() == []
+
+
+def test_a_replaced_dinner_keeps_the_rest_and_locked_slots_stay(planned):
+    profiles = [C.PROFILES[0], C.PROFILES[4]]
+    p = PL.Planner(planned.pool, profiles)
+    p.fill(0, "lunch")
+    p.fill(0, "dinner")
+    lunch, first = ([dict(r) for r in p.plan() if r["slot"] == s] for s in ("lunch", "dinner"))
+    p.replace(0, "dinner")
+    assert [r for r in p.plan() if r["slot"] == "lunch"] == lunch
+    mains = {(r["profile_id"], r["id"]) for r in first if r["role"] == "main"}
+    assert mains and not mains & {(r["profile_id"], r["id"]) for r in p.plan() if r["slot"] == "dinner"}
+    later = PL.Planner(planned.pool, profiles, locked=lunch)
+    later.week(1)
+    held = {r["profile_id"] for r in lunch}
+    assert held and [r for r in later.plan() if r["slot"] == "lunch" and r["profile_id"] in held] == lunch and len({r["slot"] for r in later.plan()}) == 3

@@ -92,3 +92,20 @@ def test_dissimilarity_and_coverage(spark):
     assert np.isclose(got[1], ((1 - 1 / 3) + 1 + 1) / 3) and 2 not in got
     c = ranking.coverage(df, "g", 10).first()
     assert (c["distinct_items"], c["coverage"], c["top_share"], c["used_once"]) == (2, 0.2, 0.75, 1)
+
+
+def test_random_lists_by_place(spark):
+    from pyspark.sql import functions as F
+
+    from platewise.operators import ranking as R
+
+    items = [(i,) for i in range(30)]
+    train, held = [(u, i) for u in (1, 2) for i in range(u, 30, 4)], [(u, i) for u in (1, 2) for i in range(u + 1, 30, 5) if (i - u) % 4]
+    frame = lambda rows: spark.createDataFrame(rows, "user long, id long")
+    got = {tuple(r) for r in R.shuffled_hits(spark.createDataFrame(items, "id long"), frame(train), frame(held), (F.col("id") * 7) % 31, F.col("user") * 11, 20).collect()}
+    want = set()
+    circle = sorted(range(30), key=lambda i: ((i * 7) % 31, i))
+    for u in (1, 2):
+        mine = [i for i in sorted(range(30), key=lambda i: (circle.index(i) - u * 11) % 30) if (u, i) not in set(train)]
+        want |= {(u, i, mine.index(i)) for v, i in held if v == u and mine.index(i) < 20}
+    assert got == want

@@ -60,3 +60,16 @@ def test_typed_rows_and_reasons(spark):
 def test_many_records_in_a_row(spark):
     df = spark.createDataFrame([(7, line() + "\n" + line(name="b")), (8, "")], "k long, t string")
     assert sorted((r["k"], r["offset"]) for r in parse_records(df, "k", "t", many=True).collect()) == [(7, 0), (7, len(line()) + 1)]
+
+
+def test_blocks_of_text_hold_every_record(spark, data):
+    from pyspark.sql import functions as F
+
+    from platewise.plans import loading
+
+    lines = spark.read.parquet(f"{data}/recipe_lines.parquet").where("raw_line is not null")
+    faulty = loading.p2_found(spark, data).count()
+    one = loading.p2_text(spark, data).agg(F.sum("lines").alias("lines"), F.sum("records").alias("records"), F.sum(F.col("quoting") + F.col("column_count") + F.col("nutrition") + F.col("ingredients")).alias("faults")).first()
+    assert one["lines"] == lines.count()
+    # a broken quote may hide its own end, never a record that starts with valid fields
+    assert abs(one["records"] - one["lines"]) <= faulty and one["records"] - one["faults"] >= 0.95 * (one["lines"] - faulty)
