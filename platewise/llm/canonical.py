@@ -295,7 +295,9 @@ def map_values(values: DataFrame, mapping: DataFrame, raw: str = "raw_ingr", ent
     """
     spark = values.sparkSession
     cases = unresolved(values, mapping, raw, entry)
-    strings = cut(spark.sql("SELECT DISTINCT val FROM {cases}", cases=cases))
+    # spread by number: each string grows into many windows
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    strings = cut(spark.sql(f"SELECT /*+ REPARTITION({parts}, val) */ DISTINCT val FROM {{cases}}", cases=cases))
     found = cut(match(strings, cut(entries(mapping, entry))))
     return spark.sql(
         f"""

@@ -1,8 +1,7 @@
 """Mix sources to target weights with capped repetition, by a min-cost flow over membership patterns.
 
 Documents that belong to the same set of listed sources form a pattern.  Only the
-patterns' total sizes reach the driver: there are at most ``2 ** k`` of them for
-``k`` listed sources.  Flow runs from each pattern, at a cost that rises with every
+patterns' total sizes reach the driver, at most :data:`PATTERNS` of them.  Flow runs from each pattern, at a cost that rises with every
 repetition of its documents, through its sources to their quotas; the cheapest
 maximum flow meets the quotas as far as the repeat caps allow with the fewest
 repetitions.
@@ -18,6 +17,7 @@ documents leave.
 Defined results: sources compare trimmed and in lower case; documents of unlisted
 or null sources take no part; documents of size 0 are never used; a null
 ``max_repeats`` means 1 and a null weight 0; targets repeated in the table add up.
+More than :data:`PATTERNS` sets of sources, or a thousand targets, raise an error.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from platewise.runtime import at_most, cut
 
 BUCKETS = 4096
+#: most membership patterns, each a row on the driver; more are refused
+PATTERNS = 1 << 16
+#: repetitions with a cost of their own; further ones are priced in blocks that double, each at its first
+EXACT_USES = 64
 #: passes that bring the sources nearer to their quotas
 ROUNDS = 3
 
@@ -94,8 +98,11 @@ def route(sizes: dict[tuple[str, ...], int], targets: dict[str, Target], total:
     place = {s: 2 + len(patterns) + i for i, s in enumerate(sources)}
     arcs = {}
     for i, p in enumerate(patterns):
-        for use in range(sum(targets[s].max_repeats for s in p)):
-            flow.arc(0, 2 + i, sizes[p], use)
+        use, most, step = 0, sum(targets[s].max_repeats for s in p), 1
+        while use < most:
+            step = 1 if use < EXACT_USES else min(step * 2, most - use)
+            flow.arc(0, 2 + i, sizes[p] * step, use)
+            use += step
         for s in p:
             arcs[p, s] = flow.arc(2 + i, place[s], sizes[p] * targets[s].max_repeats, 0)
     for s in sources:
@@ -186,7 +193,10 @@ def mix(documents: DataFrame, targets: dict[str, Target], seed: int = 17) -> tup
     sized = documents.select("id", F.array_sort(F.array_intersect(F.coalesce("sources", F.array().cast("array<string>")), listed)).alias("pattern"), "size")
     # sizes may be costly to compute: they are written before they are filtered by, so they are computed once
     sized = cut(sized.where("size(pattern) > 0")).where("size > 0")
-    sums = {tuple(r["pattern"]): (r["n"], r["t"]) for r in sized.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("size").alias("t")).collect()}
+    patterns = at_most(sized.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("size").alias("t")), PATTERNS)
+    if patterns is None:
+        raise ValueError(f"more than {PATTERNS} sets of sources")
+    sums = {tuple(r["pattern"]): (r["n"], r["t"]) for r in patterns}
     total = sum(t for _, t in sums.values())
     given = route({p: t for p, (_, t) in sums.items()}, targets)
     arcs, start = [], dict.fromkeys(sums, 0)
@@ -199,7 +209,7 @@ def mix(documents: DataFrame, targets: dict[str, Target], seed: int = 17) -> tup
     def passes(x):  # starts of a document on the unrolled circle before x
         return F.when(x <= F.col("place"), F.lit(0)).otherwise(F.expr("1") + F.floor((x - F.col("place") - 1) / F.col("length")))
 
-    # a broadcast of at most one row per pattern and source
+    # a broadcast of at most one row per pattern, of which there are at most PATTERNS, and source
     placed = _places(sized, seed).join(F.broadcast(arcs_df), "pattern")
     uses = placed.select("id", "source", "size", "cap", (passes(F.col("start") + F.col("flow")) - passes(F.col("start"))).cast("int").alias("uses"))
     uses = cut(uses)

@@ -97,6 +97,17 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[0].withColumnRenamed("id", "doc_id")
 
 
+def p7_mix_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares when equal texts are one document that belongs to the sources of all its copies."""
+    documents = table(spark, folder, "documents", "doc_id", "text", "source").where("text is not null")
+    copies = documents.select(F.sha2("text", 256).alias("sig"), "doc_id", mixing.normal_source("source").alias("source"))
+    # the sources of a text are as many as there are sources, whatever its copies
+    classes = cut(copies.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("sources")).select("doc_id", "sources"))
+    one = documents.select("doc_id", "text").join(classes, "doc_id")
+    sized = one.select(F.col("doc_id").alias("id"), "sources", encoding.count_tokens(one, "text").alias("size"))
+    return mixing.mix(sized, mixing.read_targets(table(spark, folder, "mix_targets")))[1]
+
+
 def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, folder, "documents", "doc_id", "text", "lang"), table(spark, folder, "common_words")
 
@@ -121,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_lift, p1_lift_all, p3_found, p3_ingredient_pairs, p3_tag_pairs, p3_classes, p5_found, p6_ids, p6_decoded,
-        p7_mix_report, p7_mix, p8_found, p8_statistics, p8_scores,
+        p7_mix_report, p7_mix, p7_mix_overlap, p8_found, p8_statistics, p8_scores,
     )
 }
 

@@ -61,3 +61,27 @@ def test_empty_and_dirty_tables(spark):
     t = M.read_targets(spark.createDataFrame([(" A ", 0.5, None), ("a", None, 3), (None, 0.1, 1), ("", 0.1, 1)], "source string, weight double, max_repeats int"))
     assert t == {"a": M.Target(0.5, 3)}
     assert M.mix(df, {})[1].count() == 0
+
+
+def test_many_repeats_are_priced_in_blocks():
+    t = {"a": M.Target(0.5, 1_000_000), "b": M.Target(0.5, 1)}
+    got = M.route({("a",): 3, ("b",): 600_000}, t)
+    assert got == {(("a",), "a"): 300_002, (("b",), "b"): 300_002}
+
+
+def test_overlapping_sources(spark, data):
+    from platewise.llm import queries
+
+    report = queries.p7_mix_overlap(spark, data).collect()
+    one = {r["source"]: r for r in queries.p7_mix_report(spark, data).collect()}
+    assert {r["source"] for r in report} == set(one)
+    assert all(r["most_uses"] <= r["max_repeats"] and r["documents"] <= one[r["source"]]["documents"] for r in report)
+
+
+def test_too_many_patterns_are_refused(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(M, "PATTERNS", 2)
+    rows = [(1, ["a"], 5), (2, ["b"], 5), (3, ["a", "b"], 5)]
+    with pytest.raises(ValueError):
+        M.mix(spark.createDataFrame(rows, "id long, sources array<string>, size long"), {"a": M.Target(0.5, 1), "b": M.Target(0.5, 1)})
