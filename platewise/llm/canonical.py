@@ -238,7 +238,8 @@ def match(strings: DataFrame, forms: DataFrame) -> DataFrame:
     spoken = cut(windows(strings, longest + 1))
     # each window grows into many substrings: spread them by number, since their bytes say little of the work
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shapes = spark.sql(f"SELECT /*+ REPARTITION({parts}, w) */ w FROM (SELECT DISTINCT w FROM {{spoken}})", spoken=spoken)
+    # by another key than the distinct rows lie by, or the engine would leave them there
+    shapes = spark.sql(f"SELECT /*+ REPARTITION({parts}, h) */ w, h FROM (SELECT w, xxhash64(w) AS h FROM (SELECT DISTINCT w FROM {{spoken}}))", spoken=spoken)
     pairs = cut(candidates(shapes, forms))
     swapped = "CASE WHEN {d} >= 2 AND length({a}) = length({b}) AND array_sort(split({a}, '')) = array_sort(split({b}, '')) THEN 1 ELSE 0 END"
     each = f"levenshtein(x, y) - {swapped.format(d='levenshtein(x, y)', a='x', b='y')}"
@@ -295,9 +296,7 @@ def map_values(values: DataFrame, mapping: DataFrame, raw: str = "raw_ingr", ent
     """
     spark = values.sparkSession
     cases = unresolved(values, mapping, raw, entry)
-    # spread by number: each string grows into many windows
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    strings = cut(spark.sql(f"SELECT /*+ REPARTITION({parts}, val) */ DISTINCT val FROM {{cases}}", cases=cases))
+    strings = cut(spark.sql("SELECT DISTINCT val FROM {cases}", cases=cases))
     found = cut(match(strings, cut(entries(mapping, entry))))
     return spark.sql(
         f"""
