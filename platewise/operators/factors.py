@@ -52,12 +52,14 @@ def factorise(train: DataFrame, rank: int = 20, iterations: int = 10, regularisa
     """Biases, and alternating least squares on what they leave: ``(mu, item, user, item_factors, user_factors)``.
 
     Ids must fit 32 bits, which the solver demands; larger ones are refused by the cast.
+    Every iteration is checkpointed, where the session has a folder for it, and its messages
+    deleted: else the messages of ten iterations lie on the disk.
     """
     from pyspark.ml.recommendation import ALS
 
     mu, item, user = biases(train, damping)
     rest = predict(train, mu, item, user).select(F.col("user").cast("int").alias("u"), F.col("id").cast("int").alias("i"), (F.col("rating") - F.col("predicted")).cast("float").alias("r"))
-    model = ALS(rank=rank, maxIter=iterations, regParam=regularisation, userCol="u", itemCol="i", ratingCol="r", nonnegative=False, seed=seed, coldStartStrategy="nan").fit(rest)
+    model = ALS(rank=rank, maxIter=iterations, regParam=regularisation, userCol="u", itemCol="i", ratingCol="r", nonnegative=False, checkpointInterval=1, seed=seed, coldStartStrategy="nan").fit(rest)
     as_doubles = F.col("features").cast("array<double>")
     return mu, item, user, model.itemFactors.select(F.col("id").cast("long").alias("id"), as_doubles.alias("q")), model.userFactors.select(F.col("id").cast("long").alias("user"), as_doubles.alias("p"))
 

@@ -1,5 +1,6 @@
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 from platewise import runtime
@@ -36,3 +37,18 @@ def test_tables_are_freed_on_demand(spark):
     assert not files(one) and two.count() == 7
     runtime.free_all(spark)
     assert not files(two)
+
+
+def test_cut_leaves_no_shuffle_files(spark, tmp_path):
+    from pathlib import Path
+
+    from platewise.runtime import cut
+
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = set(folder.rglob("shuffle_*.data"))
+    table = cut(spark.range(1000).repartition(5).groupBy("id").count())
+    deadline = time.time() + 10
+    while set(folder.rglob("shuffle_*.data")) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not set(folder.rglob("shuffle_*.data")) - before
+    assert table.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
