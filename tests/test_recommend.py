@@ -62,3 +62,12 @@ def test_cosine_top_with_zero_and_negative_scores(spark):
     got = [tuple(r) for r in content.cosine_top(w, v, seen, 10).orderBy("user", "rn").collect()]
     assert got == [(1, 1, 1, 0.0), (1, 2, 0, -0.3), (1, 3, 4, -0.4), (1, 4, 5, -0.4), (2, 1, 9, -1.0)]
     assert content.cosine_top(w.limit(0), v, seen, 10).count() == 0 and content.cosine_top(w, v.limit(0), seen, 10).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cosine_topk", "top10_support"])
+def test_query_set_makes_no_row_per_pair(spark, data, monkeypatch, name):
+    def pairs(*_, **__):
+        raise AssertionError("a row for each user and item")
+
+    monkeypatch.setattr(content, "cosine", pairs)
+    compare(connect(data), getattr(recommend, name)(spark, data), recommend.SQL[name])
