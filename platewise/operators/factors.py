@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import clamp, dot
+from platewise.operators import als
 from platewise.operators.content import top_k
 
 
@@ -48,16 +49,20 @@ def predict(pairs: DataFrame, mu: DataFrame, item: DataFrame, user: DataFrame, i
     return out.withColumn("predicted", value).drop("mu", "bi", "bu", "q", "p")
 
 
-def factorise(train: DataFrame, rank: int = 20, iterations: int = 10, regularisation: float = 0.1, damping: float = 5.0, seed: int = 17):
+def factorise(train: DataFrame, rank: int = 20, iterations: int = 10, regularisation: float = 0.1, damping: float = 5.0, seed: int = 17, most: int = 40_000_000):
     """Biases, and alternating least squares on what they leave: ``(mu, item, user, item_factors, user_factors)``.
 
-    Ids must fit 32 bits, which the solver demands; larger ones are refused by the cast.
-    Every iteration is checkpointed, where the session has a folder for it, and its messages
-    deleted: else the messages of ten iterations lie on the disk.
+    :func:`als.train` solves where the vectors of one side, ``most`` values, fit a task, else
+    Spark's solver, which starts from other vectors.  That one demands ids of 32 bits; larger
+    ones are refused by the cast.  Its every iteration is checkpointed, where the session has a
+    folder for it, and its messages deleted: else the messages of ten iterations lie on the disk.
     """
     from pyspark.ml.recommendation import ALS
 
     mu, item, user = biases(train, damping)
+    found = als.train(train, rank, iterations, regularisation, damping, seed, most)
+    if found is not None:
+        return mu, item, user, *found
     rest = predict(train, mu, item, user).select(F.col("user").cast("int").alias("u"), F.col("id").cast("int").alias("i"), (F.col("rating") - F.col("predicted")).cast("float").alias("r"))
     model = ALS(rank=rank, maxIter=iterations, regParam=regularisation, userCol="u", itemCol="i", ratingCol="r", nonnegative=False, checkpointInterval=1, seed=seed, coldStartStrategy="nan").fit(rest)
     as_doubles = F.col("features").cast("array<double>")

@@ -93,6 +93,33 @@ def metrics(hits: DataFrame, held: DataFrame, groups: DataFrame | None = None, c
     return rows.groupBy("population", "k").agg(F.count("*").alias("users"), *(F.avg(m).alias(m) for m in ("precision", "recall", "ndcg")))
 
 
+def system_metrics(systems: dict[str, DataFrame], held: DataFrame, groups: DataFrame | None = None, cutoffs=CUTOFFS) -> DataFrame:
+    """:func:`metrics` of several systems' hits, with their names in ``system``.
+
+    The hits of all systems are summed up together, and only users with hits meet their
+    number of held-out items; the others count with zeros.
+    """
+    relevant = held.groupBy("user").agg(F.count("*").alias("n"))
+    relevant = relevant.withColumn("population", F.lit("all")) if groups is None else relevant.join(groups, "user", "left")
+    hits = None
+    for name, found in systems.items():
+        one = found.select(F.lit(name).alias("system"), "user", "rank0")
+        hits = one if hits is None else hits.unionByName(one)
+    gain, sums = 1.0 / F.log2(F.col("rank0") + 2.0), []
+    for k in cutoffs:
+        inside = F.col("rank0") < k
+        sums += [F.count_if(inside).alias(f"h{k}"), F.coalesce(F.sum(F.when(inside, gain)), F.lit(0.0)).alias(f"d{k}")]
+    entries = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h"), F.col(f"d{k}").alias("d")) for k in cutoffs))
+    rows = hits.groupBy("system", "user").agg(*sums).join(relevant, "user").select("system", "population", "n", F.inline(entries))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", "k").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    rows = rows.withColumns({"precision": F.col("h") / F.col("k"), "recall": F.col("h") / F.col("n"), "ndcg": F.col("d") / ideal})
+    totals = rows.groupBy("system", "population", "k").agg(*(F.sum(m).alias(m) for m in ("precision", "recall", "ndcg")))
+    every = F.array(*(F.struct(F.lit(name).alias("system"), F.lit(k).alias("k")) for name in systems for k in cutoffs))
+    users = relevant.groupBy("population").agg(F.count("*").alias("users")).select("population", "users", F.inline(every))
+    joined = users.alias("u").join(totals.alias("t"), (F.col("u.system") == F.col("t.system")) & (F.col("u.k") == F.col("t.k")) & F.col("u.population").eqNullSafe(F.col("t.population")), "left")
+    return joined.select("u.system", "u.population", "u.k", "users", *((F.coalesce(m, F.lit(0.0)) / F.col("users")).alias(m) for m in ("precision", "recall", "ndcg")))
+
+
 def dissimilarity(lists: DataFrame, group: str, items: str, order: str) -> DataFrame:
     """``(group, ild)``: mean of 1 - Jaccard over the unordered pairs of each group's sets; 0 for empty pairs.
 
